@@ -19,7 +19,7 @@ CANDIDATE_ZONES = ("UTC", "America/Chicago", "America/Detroit", "Etc/GMT+6", "Et
 QUARTER_US = 15 * 60 * 1_000_000
 
 
-def estimate_zones(df: DataFrame, source: str, local_us: str, ingested: str, candidates: tuple[str, ...] = CANDIDATE_ZONES, usual_delay_min: int = 60) -> DataFrame:
+def estimate_zones(df: DataFrame, source: str, local_us: str, ingested: str, candidates: tuple[str, ...] = CANDIDATE_ZONES, usual_delay_min: int = 30) -> DataFrame:
     """One row (source, est_zone, violations, readings) per source: the candidate zone with the fewest violations.
 
     A reading violates a zone if it would have arrived more than a quarter hour before its instant, or more than

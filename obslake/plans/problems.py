@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslake.operators import time_normalise
+from obslake.operators import raw_records, time_normalise
 from obslake.tables import table, union_all
 
 #: Of each table with time texts: text column, source column, usual layout as a Java pattern, zone if it's one for all.
@@ -46,5 +46,25 @@ def p1_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
     return union_all(parts).join(registry, ["source_table", "source_name"], "left")
 
 
+PFAS_COLUMNS = ["systemname", "wssn", "locname", "sysloccode", "sampledate", "pfoaresult", "pfosresult", "pfoaflags", "pfosflags"]
+
+
+def _pfas(spark: SparkSession, d: str) -> DataFrame:
+    codes = [r[0] for r in table(spark, d, "pfas_flag").select("flag_code").where("flag_code is not null").distinct().orderBy("flag_code").limit(1001).collect()]
+    if len(codes) > 1000:
+        raise ValueError("pfas_flag is a short code list")
+    return raw_records.load_records(table(spark, d, "michigan_pfas_raw"), "raw_record", PFAS_COLUMNS, ["pfoaresult", "pfosresult"], {"pfoaflags": codes})
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that can't be loaded, with the first reason that holds."""
+    return _pfas(spark, d).where("reason is not null").select("record_id", "reason")
+
+
+def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The typed rows of the records that can be loaded."""
+    return _pfas(spark, d).where("reason is null").drop("reason", "error_offset", "raw_record")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_zone_estimates": p1_zone_estimates}
+    return {"p1_found": p1_found, "p1_zone_estimates": p1_zone_estimates, "p2_found": p2_found, "p2_loaded": p2_loaded}
