@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslake.operators import raw_records, time_normalise
+from obslake.operators import raw_records, regular_grid, schema_drift, time_normalise
 from obslake.tables import table, union_all
 
 #: Of each table with time texts: text column, source column, usual layout as a Java pattern, zone if it's one for all.
@@ -66,5 +66,47 @@ def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     return _pfas(spark, d).where("reason is null").drop("reason", "error_offset", "raw_record")
 
 
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.lifespans(schema_drift.snapshot_fields(table(spark, d, "open_data_field"), table(spark, d, "analysis_fingerprint"), table(spark, d, "type_alias")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of a dataset's fields from one snapshot to the next."""
+    return schema_drift.changes(_spans(spark, d)).select("dataset_id", "snapshot_no", "old_name", "new_name").distinct()
+
+
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    """All rows under consistent column names and types, as one JSON object each, keys in order of the snapshot's names."""
+    spans = _spans(spark, d)
+    renamed = schema_drift.changes(spans).where("change = 'renamed'").select("dataset_id", "snapshot_no", "old_name", "new_name")
+    out = schema_drift.consistent_rows(table(spark, d, "open_data_row"), schema_drift.columns(spans, renamed))
+    return out.select("dataset_id", "snapshot_no", "row_no", "file_name", F.to_json("record", {"ignoreNullFields": "false"}).alias("record_json"))
+
+
+#: Of each table of problem 6: source column and value column, whether a reading without value is one.
+GRID_TABLES = {"chicago_beach_weather": ("station_name", "air_temperature", True), "ann_arbor_rainfall": ("site", "rainfall", False)}
+
+
+def _series(spark: SparkSession, d: str, name: str) -> DataFrame:
+    _, value, bare = GRID_TABLES[name]
+    readings = with_instants(spark, d, name, [value]).select(F.col("__source").alias("source"), "utc_us", F.col(value).alias("value"))
+    if not bare:
+        readings = readings.where("value is not null")
+    own = F.col("source_table") == name
+    cadence = table(spark, d, "source_registry").where(own).select(F.col("source_name").alias("source"), "cadence_minutes")
+    deployments = table(spark, d, "source_deployment").where(own).select(F.col("source_name").alias("source"), "active_from", "active_to")
+    return regular_grid.regular_series(readings, deployments, cadence).select(F.lit(name).alias("table_name"), F.col("source").alias("source_name"), *["slot_ms", "readings", "value", "last_ms", "next_ms", "filled", "status"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The empty slots of every deployment."""
+    return union_all([_series(spark, d, n) for n in GRID_TABLES]).where("status != 'observed'").select("table_name", "source_name", "slot_ms")
+
+
+def p6_series(spark: SparkSession, d: str) -> DataFrame:
+    """The regular series of every source, empty slots filled from the last reading and marked."""
+    return union_all([_series(spark, d, n) for n in GRID_TABLES])
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_zone_estimates": p1_zone_estimates, "p2_found": p2_found, "p2_loaded": p2_loaded}
+    return {f.__name__: f for f in (p1_found, p1_zone_estimates, p2_found, p2_loaded, p5_found, p5_table, p6_found, p6_series)}
