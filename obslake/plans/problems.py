@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslake.operators import raw_records, regular_grid, schema_drift, time_normalise
-from obslake.tables import table, union_all
+from obslake.operators import anomaly, raw_records, regular_grid, schema_drift, time_normalise
+from obslake.tables import checkpointed, lookup_join, table, union_all
 
 #: Of each table with time texts: text column, source column, usual layout as a Java pattern, zone if it's one for all.
 TIME_TABLES = {
@@ -66,6 +66,36 @@ def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     return _pfas(spark, d).where("reason is null").drop("reason", "error_offset", "raw_record")
 
 
+#: Of each table of problem 3: fields with the least and greatest possible value, and whether steps are relative.
+MEASURED = {"chicago_beach_weather": {"air_temperature": (-60.0, 60.0, False), "humidity": (0.0, 100.0, False)}, "ann_arbor_air_quality": {"pm2point5_raw": (0.0, 1000.0, True)}}
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of the fields in long form: table_name, row_id, field_name, series, t, v, lo, hi, log_scale, cadence_us."""
+    parts = []
+    for name, fields in MEASURED.items():
+        cadence = table(spark, d, "source_registry").where((F.col("source_table") == name) & (F.col("cadence_minutes") >= 1)).groupBy(F.col("source_name").alias("__source")).agg(F.min("cadence_minutes").alias("__cadence"))
+        rows = with_instants(spark, d, name, list(fields)).where("utc_us is not null and __source is not null")
+        rows = lookup_join(rows, cadence, ["__source"])
+        one = [F.struct(F.lit(f).alias("field_name"), F.col(f).cast("double").alias("v"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(log).alias("log_scale")) for f, (lo, hi, log) in fields.items()]
+        parts.append(
+            rows.select("row_id", "__source", "utc_us", "__cadence", F.inline(F.array(*one)))
+            .where("v is not null")
+            .select(F.lit(name).alias("table_name"), "row_id", "field_name", F.concat_ws("|", F.lit(name), "field_name", "__source").alias("series"), F.col("utc_us").alias("t"), "v", "lo", "hi", "log_scale", (F.coalesce("__cadence", F.lit(60)).cast("long") * 60_000_000).alias("cadence_us"))
+        )
+    return union_all(parts)
+
+
+def p3_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Every flagged reading with its kind and probability; copies of a flagged row are flagged too."""
+    rows = _measured(spark, d)
+    return rows.join(anomaly.flag_readings(rows), ["series", "t", "v"]).select("table_name", "row_id", "field_name", "flag", "probability")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_flags(spark, d).select("table_name", "row_id", "field_name")
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.lifespans(schema_drift.snapshot_fields(table(spark, d, "open_data_field"), table(spark, d, "analysis_fingerprint"), table(spark, d, "type_alias")))
 
@@ -109,4 +139,4 @@ def p6_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_zone_estimates, p2_found, p2_loaded, p5_found, p5_table, p6_found, p6_series)}
+    return {f.__name__: f for f in (p1_found, p1_zone_estimates, p2_found, p2_loaded, p3_found, p3_flags, p5_found, p5_table, p6_found, p6_series)}
