@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslake.operators import anomaly, raw_records, regular_grid, schema_drift, time_normalise
+from obslake.operators import anomaly, raw_records, regular_grid, schema_drift, time_normalise, unit_convert
 from obslake.tables import checkpointed, lookup_join, table, union_all
 
 #: Of each table with time texts: text column, source column, usual layout as a Java pattern, zone if it's one for all.
@@ -96,8 +96,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_flags(spark, d).select("table_name", "row_id", "field_name")
 
 
+def p4_converted(spark: SparkSession, d: str) -> DataFrame:
+    """Every observation with its quantity, recorded unit and value in the common unit."""
+    o = table(spark, d, "semantic_observation").select("obs_id", "stream_id", "unit_id", "metric", "source_field", "value", "unit", "record_label", "observed_at")
+    out = unit_convert.convert_units(o, table(spark, d, "unit_reference"), table(spark, d, "metric_alias"))
+    return out.select("obs_id", "stream_id", "quantity", "number", "unit_code", "unit_from", "is_common", "common_value")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Observations that hold a number recorded in another unit than the common one."""
+    return p4_converted(spark, d).where("unit_code is not null and not is_common").select("obs_id", "unit_code")
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.lifespans(schema_drift.snapshot_fields(table(spark, d, "open_data_field"), table(spark, d, "analysis_fingerprint"), table(spark, d, "type_alias")))
+    return checkpointed(schema_drift.lifespans(schema_drift.snapshot_fields(table(spark, d, "open_data_field"), table(spark, d, "analysis_fingerprint"), table(spark, d, "type_alias"))))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -139,4 +151,4 @@ def p6_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_zone_estimates, p2_found, p2_loaded, p3_found, p3_flags, p5_found, p5_table, p6_found, p6_series)}
+    return {f.__name__: f for f in (p1_found, p1_zone_estimates, p2_found, p2_loaded, p3_found, p3_flags, p4_found, p4_converted, p5_found, p5_table, p6_found, p6_series)}
