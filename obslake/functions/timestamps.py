@@ -46,8 +46,9 @@ def with_parsed_time(df: DataFrame, text: str, prefix: str = "t_") -> DataFrame:
     p = prefix
     t = F.trim(F.regexp_replace(F.col(text), r"[\s\u00a0]+", " "))
     # a generator keeps the optimizer from copying the pattern match into every use of its parts
-    df = df.select("*", F.inline(F.array(F.struct(F.split(F.when(t.rlike(LAYOUT), F.regexp_replace(t, LAYOUT, PARTS)), r"\|").alias(f"{p}s"), F.when(t.rlike(_EPOCH), t).alias(f"{p}e")))))
-    s = F.col(f"{p}s")
+    df = df.select("*", F.inline(F.array(F.struct(F.split(F.when(~F.contains(t, F.lit("|")), F.regexp_replace(t, LAYOUT, PARTS)), r"\|").alias(f"{p}s"), F.when(t.rlike(_EPOCH), t).alias(f"{p}e")))))
+    # what the pattern doesn't match stays one part
+    s = F.when(F.size(f"{p}s") == 9, F.col(f"{p}s"))
     part = [s[i] for i in range(9)]
     month = F.when(part[1].rlike(r"^\d+$"), part[1].try_cast("int")).otherwise((F.instr(F.lit(MONTHS), F.lower(F.substring(part[1], 1, 3))) + 3) / 4)
     hour = part[3].try_cast("int")

@@ -54,7 +54,9 @@ def normalise_times(df: DataFrame, text: str, source: str | None, zones: DataFra
     if source and zones is not None:
         out = lookup_join(out, zones.select(source, F.col("zone_name").alias("__known")).dropDuplicates([source]), [source])
         known = F.coalesce(F.col("__known"), known)
-        if estimate and ingested and fixed_zone is None:
+        # the zones are estimated only if some source has none: reading the source column alone tells that
+        known_zone = zones.where("zone_name is not null").select(source)
+        if estimate and ingested and fixed_zone is None and not df.select(source).where(F.col(source).isNotNull()).distinct().join(known_zone, [source], "left_anti").isEmpty():
             bare = out.where(F.col("t_offset_min").isNull() & F.col("t_region").isNull() & F.col("__known").isNull() & F.col("t_local_us").isNotNull())
             out = lookup_join(out, estimate_zones(bare, source, "t_local_us", ingested).select(source, "est_zone"), [source])
             known = F.coalesce(known, F.col("est_zone"))
