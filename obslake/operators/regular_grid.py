@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obslake.functions.timestamps import div
-from obslake.tables import lookup_join
+from obslake.tables import checkpointed, lookup_join
 
 SHARD_SLOTS = 512
 
@@ -60,7 +60,7 @@ def regular_series(readings: DataFrame, deployments: DataFrame, cadence: DataFra
     step_us = F.col("cadence_minutes").cast("long") * 60_000_000
     slot = F.call_function("div", F.col("utc_us") - F.pmod(F.col("utc_us"), step_us), step_us)
     # partial sums before the shuffle: a hot source moves one row per slot and task
-    per_slot = placed.groupBy("source", div(slot, shard_slots).alias("shard"), slot.alias("slot")).agg(F.count("*").alias("readings"), F.avg("value").alias("value"))
+    per_slot = checkpointed(placed.groupBy("source", div(slot, shard_slots).alias("shard"), slot.alias("slot")).agg(F.count("*").alias("readings"), F.avg("value").alias("value")))
     grid = slot_grid(deployments, cadence, shard_slots).join(per_slot, ["source", "shard", "slot"], "left")
 
     seen, valued = F.when(F.col("readings").isNotNull(), F.col("slot")), F.when(F.col("value").isNotNull(), F.struct("slot", "value"))

@@ -88,8 +88,8 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_flags(spark: SparkSession, d: str) -> DataFrame:
     """Every flagged reading with its kind and probability; copies of a flagged row are flagged too."""
-    rows = _measured(spark, d)
-    return rows.join(anomaly.flag_readings(rows), ["series", "t", "v"]).select("table_name", "row_id", "field_name", "flag", "probability")
+    rows = checkpointed(_measured(spark, d))
+    return rows.select("table_name", "row_id", "field_name", "series", "t", "v").join(anomaly.flag_readings(rows), ["series", "t", "v"]).select("table_name", "row_id", "field_name", "flag", "probability")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A lookup is broadcast only if it has at most this many rows.
 BROADCAST_ROWS = 100_000
+#: Folders of sessions that name none.
+_OWN: dict[SparkSession, str] = {}
 #: Copies of a larger lookup's rows, so that one hot key is spread over as many tasks.
 SALTS = 24
 
@@ -41,14 +47,23 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir of the session, or one of this machine where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark not in _OWN:
+        _OWN[spark] = tempfile.mkdtemp(prefix="obslake-")
+        atexit.register(shutil.rmtree, _OWN[spark], True)
+    return "file://" + _OWN[spark]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+    """The rows of df, computed once and written to the shared folder as a table.
 
-    Only where the session names none (tests, a single machine) a folder of this machine is used.
+    Cuts the lineage: what is lost with an executor is read again, not computed again. Written as columns, so that later
+    steps read only those they need.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="obslake-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
