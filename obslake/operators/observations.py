@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obslake.functions import values as V
+from obslake.tables import spread
 
 #: Names of unit columns, in order of preference.
 UNIT_COLUMNS = ["unit", "units", "uom", "unit_of_measure", "measurement_unit", "unit_name"]
@@ -25,44 +26,72 @@ class Roles:
     unit_column: str | None = None
 
 
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
 def to_points(df: DataFrame, roles: Roles, selected: list[str] | None = None) -> DataFrame:
-    """One row per row and data column: stream_id, <unit columns>, metric, source_field, value_text, value, ts, seq, unit.
+    """One row per row and data column: stream_id, <unit columns>, <name columns>, metric, source_field, value_text, value,
+    ts, seq, unit.
 
     Null data are left out, and rows without unit. ``selected`` narrows the data columns before anything is read. Values
-    that are no finite numbers keep their text and have a null value. Without order columns, time alone orders.
+    that are no finite numbers keep their text and have a null value. Without order columns, time alone orders. Columns that
+    a later step doesn't use cost nothing: numbers are not made texts, and ids not hashed, until they are asked for.
     """
     data = [c for c in roles.data if selected is None or c in selected]
-    keep = [*roles.unit, *roles.names, *([roles.time] if roles.time else []), *roles.seq, *([roles.unit_column] if roles.unit_column else [])]
-    base = df.select(*dict.fromkeys([*keep, *data]))
+    keep = list(dict.fromkeys([*roles.unit, *roles.names, *([roles.time] if roles.time else []), *roles.seq, *([roles.unit_column] if roles.unit_column else [])]))
+    numeric = all(t.startswith(NUMERIC) for c, t in df.dtypes if c in data)
+    kind = "double" if numeric else "string"
+    # a measure may order rows as well: it is copied before it is unpivoted
+    base = spread(df).select(*keep, *[F.col(c).cast(kind).alias(f"__{c}") for c in data])
     for c in roles.unit:
         base = base.where(V.present(c))
-    cells = F.array(*[F.struct(F.lit(c).alias("source_field"), V.text(c).alias("value_text"), V.to_number(c).alias("value")) for c in data])
-    out = base.select(*[F.col(c) for c in keep], F.inline(cells)).where(F.col("value_text").isNotNull())
+    cells = base.unpivot(keep, [f"__{c}" for c in data], "source_field", "__v").where(F.col("__v").isNotNull()).withColumn("source_field", F.substring("source_field", 3, 1000))
+    value = F.when(~F.isnan("__v") & (F.abs("__v") < F.lit(float("inf"))), F.col("__v")) if numeric else V.to_number("__v")
     name = V.joined(*roles.names) if roles.names else F.col("source_field")
     if roles.names and len(data) > 1:
         name = F.concat_ws(" / ", name, "source_field")
-    identity = [F.concat_ws("\u0001", *[V.text(c) for c in roles.unit]), *[F.col(c) for c in roles.names], F.col("source_field")]
-    return out.select(
-        V.stream_id(*identity).alias("stream_id"),
-        *roles.unit,
+    return cells.select(
+        _stream_id(roles).alias("stream_id"),
+        *dict.fromkeys([*roles.unit, *roles.names]),
         name.alias("metric"),
         "source_field",
-        "value_text",
-        "value",
+        V.text("__v").alias("value_text"),
+        value.alias("value"),
         (F.col(roles.time) if roles.time else F.lit(None).cast("timestamp")).alias("ts"),
         F.struct(*[F.col(c) for c in roles.seq]).alias("seq") if roles.seq else F.struct(F.lit(0).alias("none")).alias("seq"),
         (F.col(roles.unit_column) if roles.unit_column else F.lit(None).cast("string")).alias("unit"),
     )
 
 
+def _stream_id(roles: Roles) -> Column:
+    return V.stream_id(F.concat_ws("\u0001", *[V.text(c) for c in roles.unit]), *[F.col(c) for c in roles.names], F.col("source_field"))
+
+
+def latest_streams(df: DataFrame, roles: Roles, selected: list[str] | None = None) -> DataFrame:
+    """stream_id, <unit columns>, metric, source_field, ts, value, value_text, unit: the latest point of every stream.
+
+    In two steps: by the identity as written, which is cheap to group by, then by stream_id, which makes one of spellings
+    that mean the same. Ids are hashed once per written identity, not once per point.
+    """
+    points = to_points(df, roles, selected)
+    written = list(dict.fromkeys([*roles.unit, *roles.names, "source_field"]))
+    columns = ["ts", "seq", "value", "value_text", "unit"]
+    once = latest(points, written, columns)
+    name = V.joined(*roles.names) if roles.names else F.col("source_field")
+    if roles.names and len(roles.data if selected is None else selected) > 1:
+        name = F.concat_ws(" / ", name, "source_field")
+    once = once.select(_stream_id(roles).alias("stream_id"), *roles.unit, name.alias("metric"), "source_field", *columns)
+    return latest(once, ["stream_id"], [*roles.unit, "metric", "source_field", *columns]).drop("seq")
+
+
 def unit_column(columns: list[str]) -> str | None:
     return next((c for n in UNIT_COLUMNS for c in columns if c.lower() == n), None)
 
 
-def latest(points: DataFrame, key: list[str]) -> DataFrame:
-    """The latest point of each stream: points with a time before others, then by time, then by order. An aggregate, so
-    that a hot stream is reduced before it is shuffled; other columns come from the chosen point."""
-    rest = [c for c in points.columns if c not in key]
+def latest(points: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The latest point of each key: points with a time before others, then by time, then by order. An aggregate, so that a
+    hot key is reduced before it is shuffled. ``columns`` of the chosen point are returned; None: all."""
+    rest = [c for c in points.columns if c not in key] if columns is None else list(dict.fromkeys(c for c in columns if c not in key))
     rank = F.struct(F.col("ts").isNotNull().alias("a"), F.col("ts").alias("b"), F.col("seq").alias("c"))
     return points.groupBy(*key).agg(F.max_by(F.struct(*rest), rank).alias("__p")).select(*key, "__p.*")
 

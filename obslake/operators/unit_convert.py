@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obslake.functions.units import CONVERSIONS, ContextReader
-from obslake.tables import checkpointed
+from obslake.tables import checkpointed, spread
 
 #: Stretches of time that each stream is cut into for the choice of its unit.
 STRETCHES = 64
@@ -74,7 +74,7 @@ def convert_units(observations: DataFrame, reference: DataFrame, metric_labels:
     labels = dict(small_pairs(metric_labels.select("metric_label", "quantity")))
     spark = observations.sparkSession
     # read once: the texts are the costly part, and several steps need the result
-    read = checkpointed(read_units(observations, units, labels))
+    read = checkpointed(read_units(spread(observations), units, labels))
     common = set(small_pairs(reference.where("is_common = 1").select("quantity", "unit_code")))
     rows = [(q, u, (q, u) in common, *CONVERSIONS.get((q, u), (None, None))) for q, u in units]
     factors = spark.createDataFrame(rows or [(None,) * 5], "quantity string, unit_code string, is_common boolean, factor double, shift double")

@@ -27,12 +27,12 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_per_stream(spark: SparkSession, d: str) -> DataFrame:
     """The latest value of every stream of a long table."""
-    return observations.latest(_points(spark, d), ["stream_id"]).select("stream_id", "user_id", "metric", "ts", "value")
+    return observations.latest_streams(table(spark, d, "events"), EVENTS).select("stream_id", "user_id", "metric", "ts", "value")
 
 
 def wide_to_streams_latest(spark: SparkSession, d: str) -> DataFrame:
     """Every measure of a wide table is a stream."""
-    return observations.latest(observations.to_points(table(spark, d, "lineitem"), LINES), ["l_suppkey", "metric"]).select("l_suppkey", "metric", "ts", "value")
+    return observations.latest(observations.to_points(table(spark, d, "lineitem"), LINES), ["l_suppkey", "metric"], ["ts", "value"]).select("l_suppkey", "metric", "ts", "value")
 
 
 def selected_metrics(spark: SparkSession, d: str) -> DataFrame:

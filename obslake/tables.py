@@ -43,6 +43,14 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     return salted.join(copies, [*keys, salt], how).drop(salt)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in enough partitions for all cores, for steps that cost much per row: small or unsplittable files come in few."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
