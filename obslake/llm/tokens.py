@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obslake.tables import spread
+
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -40,4 +42,4 @@ def with_token_counts(documents: DataFrame, text: str = "text", path: str = TOKE
             sizes = [len(encode(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int32())], names=[*keep, "tokens"])
 
-    return documents.select(*keep, F.col(text)).mapInArrow(count, schema)
+    return spread(documents.select(*keep, F.col(text))).mapInArrow(count, schema)
