@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obslake.functions import values as V
-from obslake.operators import catalog, dependencies, fingerprint, geo, observations, portal, profile, sampling, series
+from obslake.operators import catalog, dependencies, fingerprint, geo, observations, portal, profile, roles, sampling, series, sinks
 from obslake.sources import files
 from obslake.streaming import refresh
 from obslake.tables import shared_folder, table
@@ -367,13 +367,64 @@ def stream_discovery(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/known")
 
 
+def statistics_once(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly buckets that the first half of the events didn't have."""
+    e = table(spark, d, "events")
+    written = series.bucket_stats(e.where("event_id % 2 = 0"), ["event_type"], "ts", "value", 60)
+    return sinks.once_per_bucket(series.bucket_stats(e, ["event_type"], "ts", "value", 60), written, ["event_type", "bucket"]).select("event_type", "bucket", "n")
+
+
+def attribute_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Present values of a row as JSON."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", sinks.attributes(p, ["p_name", "p_brand", "p_type", "p_size"]).alias("attributes"))
+
+
+def unsent_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Schemas that changed since the snapshot before."""
+    f = table(spark, d, "analysis_fingerprint").select("dataset_id", "snapshot_no", "schema_json")
+    sent = f.select("dataset_id", (F.col("snapshot_no") + 1).alias("snapshot_no"), F.sha2("schema_json", 256).alias("digest"))
+    return sinks.unreported(f, sent, ["dataset_id", "snapshot_no"], "schema_json").select("dataset_id", "snapshot_no", "digest")
+
+
+def pruned_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Registered sources without a deployment."""
+    kept = table(spark, d, "source_registry").select("source_table", "source_name")
+    return sinks.stale_keys(kept, table(spark, d, "source_deployment"), ["source_table", "source_name"])
+
+
+def prepared_catalogs(spark: SparkSession, d: str) -> DataFrame:
+    """K06, R09, H07."""
+    c = table(spark, d, "portal").select("portal_id", F.concat(F.lit(" HTTPS://"), "portal_id", F.lit("/ ")).alias("portal_url"), F.when(F.col("provider") == "ckan", "running").otherwise("ready").alias("status"))
+    return sinks.prepared(c, F.lit(False)).select("portal_id", "portal_key", "status")
+
+
+def source_route(spark: SparkSession, d: str) -> DataFrame:
+    """The file's rows if the interface lags too far."""
+    e = table(spark, d, "events")
+    return sinks.choose_source(e.where("event_id < 5000"), e, "ts", F.lit(1800.0))
+
+
+def role_classification(spark: SparkSession, d: str) -> DataFrame:
+    """Roles of the fields of a survey, one chosen by hand."""
+    p = table(spark, d, "michigan_pfas").drop("row_id", "ingested_at")
+    found = roles.classify(p, p.columns, explicit={"systemname": "location"}, times=["sampledate"])
+    return spark.createDataFrame(list(found.items()), "field string, role string")
+
+
+def record_selections(spark: SparkSession, d: str) -> DataFrame:
+    """Units of a composite key with labels."""
+    s = roles.RecordStructure(("wssn", "sysloccode"), ("systemname", "locname"))
+    return roles.selections(table(spark, d, "michigan_pfas"), s, ["row_id"]).select("token", "label")
+
+
 ALL = [
     latest_per_stream, wide_to_streams_latest, selected_metrics, point_history_dedup, top_k_latest_per_unit, filtered_tail, cadence_median_gap, cadence_window30, freshness_staleness,
     bucket_stats_5min, bucket_stats_hourly, chao1_population, physical_ordering, retrieval_plan, stratified_sample, sampling_evidence, functional_dependencies, dimension_relationships,
     field_behaviour, long_metric_preview, observation_shape, grid_scores, dataset_structure, role_hypotheses, unit_selections, disambiguated_labels, unit_key_tokens, stream_ids, new_streams,
     reconcile_selection, score_catalog, catalog_quality, rank_catalog, search_catalog, ontology_mapping, profile_match, url_normalize, parse_reference, candidate_roots, html_links, json_envelope,
     location_rank, coordinate_evidence, fingerprint_events, reanalysis_decisions, resource_choice, canonical_text, corpus_summary, field_names, unicode_names, dirty_numbers, stale_sources,
-    streaming_buckets, stream_discovery,
+    streaming_buckets, stream_discovery, statistics_once, attribute_projection, unsent_reports, pruned_sources, prepared_catalogs, source_route, role_classification, record_selections,
 ]
 
 

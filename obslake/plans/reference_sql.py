@@ -190,6 +190,13 @@ def oracle_sql() -> dict[str, str]:
             case when lower(trim(value)) not in ('', 'na', 'n/a', 'nan', 'none', 'null', 'nd', '-', '--') and regexp_full_match(regexp_replace(replace(trim(value), ',', ''), '^<\\s*', ''), '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*') then try_cast(trim(regexp_replace(replace(trim(value), ',', ''), '^<\\s*', '')) as double) end as dirty,
             coalesce(length(trim(value)) >= 8 and regexp_full_match(trim(value), '\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}.*'), false) as temporal from semantic_observation""",
         "stale_sources": "select source_name as site from source_registry where source_table = 'ann_arbor_rainfall' except select site from ann_arbor_rainfall where rainfall > 5",
+        "statistics_once": "select event_type, time_bucket(interval '1 hour', ts) as bucket, count(*) as n from events group by 1, 2 having count(*) filter (event_id % 2 = 0) = 0",
+        "attribute_projection": """select p_partkey, '{"p_name":"' || p_name || '","p_brand":"' || p_brand || '","p_type":"' || p_type || '","p_size":"' || p_size || '"}' as attributes from part""",
+        "unsent_reports": "select a.dataset_id, a.snapshot_no, sha256(a.schema_json) as digest from analysis_fingerprint a left join analysis_fingerprint b on b.dataset_id = a.dataset_id and b.snapshot_no = a.snapshot_no - 1 where b.schema_json is null or b.schema_json <> a.schema_json",
+        "pruned_sources": "select source_table, source_name from source_registry except select source_table, source_name from source_deployment",
+        "prepared_catalogs": "select portal_id, 'https://' || lower(portal_id) as portal_key, case when provider = 'ckan' then 'failed' else 'ready' end as status from portal",
+        "source_route": "select a as api_latest, f as file_latest, case when a is null or f is null or epoch_us(f) - epoch_us(a) >= 1800e6 then 'file' else 'api' end as source from (select max(ts) filter (event_id < 5000) as a, max(ts) as f from events)",
+        "record_selections": "select 'v1:' || " + b64.format("'[\"' || wssn || '\",\"' || sysloccode || '\"]'") + " as token, systemname || ' / ' || locname as label from (select wssn, sysloccode, arg_min(systemname, row_id) as systemname, arg_min(locname, row_id) as locname from michigan_pfas where wssn <> '' and sysloccode <> '' group by 1, 2)",
         "p2_found": _raw_records(),
         "p5_found": _changes(),
     }
