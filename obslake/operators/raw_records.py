@@ -103,8 +103,10 @@ def parse_records(df: DataFrame, raw: str, columns: list[str], separator: str =
     """Adds ``reason`` (broken_quoting, column_count or null), ``error_offset`` in bytes and ``fields``.
 
     A null record has reason column_count at offset 0, as an empty one; both have fewer fields than any table, unless the
-    table has one column. Other columns are kept. ``columns`` are the names of the table that the records belong to.
+    table has one column. Other columns are kept, but for ones of the new names, which are replaced. ``columns`` are the names
+    of the table that the records belong to.
     """
+    df = df.drop(*({"reason", "error_offset", "fields"} - {raw}))
     n = len(columns)
     schema = T.StructType([*df.schema.fields, T.StructField("reason", T.StringType()), T.StructField("error_offset", T.IntegerType()), T.StructField("fields", T.ArrayType(T.StringType()))])
     place = df.columns.index(raw)
@@ -138,6 +140,7 @@ def load_records(df: DataFrame, raw: str, columns: list[str], numeric: list[str]
     reason of broken_quoting, column_count, invalid_value, and nulls in ``columns``.
     """
     out = parse_records(df, raw, columns, separator)
+    new = {"reason", "error_offset", "fields", *columns, *(f"{c}_below" for c in numeric)}
     at = {c: F.col("fields")[i] for i, c in enumerate(columns)}
     checks = [(F.trim(at[c]) != "") & number(at[c]).isNull() for c in numeric]
     for c, codes in coded.items():
@@ -150,4 +153,4 @@ def load_records(df: DataFrame, raw: str, columns: list[str], numeric: list[str]
     typed = {c: F.when(good, number(at[c]) if c in numeric else at[c]) for c in columns}
     below = {f"{c}_below": F.when(good, F.trim(at[c]).startswith("<")) for c in numeric}
     reason = F.coalesce(F.col("reason"), F.when(bad, F.lit("invalid_value")))
-    return out.select(*[c for c in df.columns if c not in columns], reason.alias("reason"), "error_offset", *[v.alias(k) for k, v in (typed | below).items()])
+    return out.select(*[c for c in df.columns if c not in new], reason.alias("reason"), "error_offset", *[v.alias(k) for k, v in (typed | below).items()])

@@ -26,7 +26,7 @@ def slot_grid(deployments: DataFrame, cadence: DataFrame, shard_slots: int = SHA
     they are expanded to slots, so one long deployment isn't one task.
     """
     step = F.col("cadence_minutes").cast("long") * 60_000
-    spans = deployments.join(cadence.where("cadence_minutes >= 1").dropDuplicates(["source"]), "source").select(
+    spans = deployments.select("source", "active_from", "active_to").join(cadence.where("cadence_minutes >= 1").dropDuplicates(["source"]), "source").select(
         "source",
         step.alias("cadence_ms"),
         div(F.unix_micros("active_from") + 999, 1000).alias("__from"),
@@ -54,8 +54,8 @@ def regular_series(readings: DataFrame, deployments: DataFrame, cadence: DataFra
     before the slot. Repeated rows count as readings, but don't change means of equal values. Readings outside every
     deployment are left out.
     """
-    cadence = cadence.dropDuplicates(["source"])
-    known = readings.where(F.col("source").isNotNull() & F.col("utc_us").isNotNull())
+    cadence = cadence.select("source", "cadence_minutes").dropDuplicates(["source"])
+    known = readings.select("source", "utc_us", "value").where(F.col("source").isNotNull() & F.col("utc_us").isNotNull())
     placed = lookup_join(known, cadence.where("cadence_minutes >= 1").select("source", "cadence_minutes"), ["source"], "inner")
     step_us = F.col("cadence_minutes").cast("long") * 60_000_000
     slot = F.call_function("div", F.col("utc_us") - F.pmod(F.col("utc_us"), step_us), step_us)

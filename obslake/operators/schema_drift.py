@@ -127,7 +127,7 @@ def consistent_rows(rows: DataFrame, column_map: DataFrame) -> DataFrame:
     no field lists are kept under their own name as text, unless a column has it. Unreadable payloads give only nulls.
     """
     per = column_map.groupBy("dataset_id", "snapshot_no").agg(F.sort_array(F.collect_set(F.struct("name", "column_name", "column_class"))).alias("__columns"))
-    out = lookup_join(rows.withColumn("__values", F.from_json("payload", "map<string,string>")), per, ["dataset_id", "snapshot_no"])
+    out = lookup_join(rows.drop("record").withColumn("__values", F.from_json("payload", "map<string,string>")), per, ["dataset_id", "snapshot_no"])
     cols = F.coalesce("__columns", F.array().cast("array<struct<name:string,column_name:string,column_class:string>>"))
     mapped = F.transform(cols, lambda c: F.struct(c["column_name"].alias("key"), _cast(F.col("__values")[c["name"]], c["column_class"]).alias("value")))
     listed = F.concat(F.transform(cols, lambda c: c["name"]), F.transform(cols, lambda c: c["column_name"]))

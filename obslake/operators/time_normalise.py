@@ -46,10 +46,11 @@ def normalise_times(df: DataFrame, text: str, source: str | None, zones: DataFra
 
     A stated offset or zone decides; otherwise the source's zone in ``zones`` (columns <source>, zone_name; one row per
     source), else ``fixed_zone``, else the estimated zone. Null, empty and unreadable texts, and local times that the
-    zone skips or has twice, give null. All rows and columns are kept; columns named t_* , __known or est_zone must
-    not be in ``df``.
+    zone skips or has twice, give null. All rows and columns are kept, but for columns of the new ones' names, which are
+    replaced.
     """
-    out = with_parsed_time(df, text)
+    df = df.drop("utc_us", "zone_used")
+    out = with_parsed_time(df, text, "__t_")
     known = F.lit(fixed_zone).cast("string")
     if source and zones is not None:
         out = lookup_join(out, zones.select(source, F.col("zone_name").alias("__known")).dropDuplicates([source]), [source])
@@ -57,13 +58,13 @@ def normalise_times(df: DataFrame, text: str, source: str | None, zones: DataFra
         # the zones are estimated only if some source has none: reading the source column alone tells that
         known_zone = zones.where("zone_name is not null").select(source)
         if estimate and ingested and fixed_zone is None and not df.select(source).where(F.col(source).isNotNull()).distinct().join(known_zone, [source], "left_anti").isEmpty():
-            bare = out.where(F.col("t_offset_min").isNull() & F.col("t_region").isNull() & F.col("__known").isNull() & F.col("t_local_us").isNotNull())
-            out = lookup_join(out, estimate_zones(bare, source, "t_local_us", ingested).select(source, "est_zone"), [source])
-            known = F.coalesce(known, F.col("est_zone"))
-    out = out.withColumn("zone_used", F.coalesce(F.col("t_region"), known))
-    stated = F.col("t_local_us") - F.col("t_offset_min") * F.lit(60_000_000).cast("long")
-    utc = F.when(F.col("t_offset_min").isNotNull(), stated).otherwise(local_to_utc_us(F.col("t_local_us"), F.col("zone_used")))
-    return out.select("*", F.inline(F.array(F.struct(utc.alias("utc_us"))))).drop("t_local_us", "t_offset_min", "t_region", "__known", "est_zone")
+            bare = out.where(F.col("__t_offset_min").isNull() & F.col("__t_region").isNull() & F.col("__known").isNull() & F.col("__t_local_us").isNotNull())
+            out = lookup_join(out, estimate_zones(bare, source, "__t_local_us", ingested).select(source, F.col("est_zone").alias("__est")), [source])
+            known = F.coalesce(known, F.col("__est"))
+    out = out.withColumn("zone_used", F.coalesce(F.col("__t_region"), known))
+    stated = F.col("__t_local_us") - F.col("__t_offset_min") * F.lit(60_000_000).cast("long")
+    utc = F.when(F.col("__t_offset_min").isNotNull(), stated).otherwise(local_to_utc_us(F.col("__t_local_us"), F.col("zone_used")))
+    return out.select("*", F.inline(F.array(F.struct(utc.alias("utc_us"))))).drop("__t_local_us", "__t_offset_min", "__t_region", "__known", "__est")
 
 
 def unusual_times(df: DataFrame, text: str, usual: str) -> Column:

@@ -68,8 +68,10 @@ def convert_units(observations: DataFrame, reference: DataFrame, metric_labels:
     ``unit_from`` tells where the unit is stated, or ``plausible`` if it was chosen by the values; null where there is
     no number or no known quantity, and then unit_code and common_value are null too. Rows without stream are judged
     together by unit_id, rows without time together. Ties between units go to the common one, then in order of code.
-    A unit of ``reference`` without a known factor keeps its code and has a null common_value.
+    A unit of ``reference`` without a known factor keeps its code and has a null common_value. Columns of the new ones'
+    names are replaced.
     """
+    observations = observations.drop("quantity", "number", "unit_code", "unit_from", "is_common", "common_value", "stated_unit", "stated_in", "factor", "shift")
     units = small_pairs(reference.select("quantity", "unit_code"))
     labels = dict(small_pairs(metric_labels.select("metric_label", "quantity")))
     spark = observations.sparkSession
