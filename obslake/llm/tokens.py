@@ -32,8 +32,8 @@ def encoder(path: str, vocabulary: str = VOCABULARY):
 
 
 def with_token_counts(documents: DataFrame, text: str = "text", path: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The other columns and ``tokens``, the size of the whole text; null and empty texts have 0 tokens."""
-    keep = [c for c in documents.columns if c != text]
+    """The other columns and ``tokens``, the size of the whole text; null and empty texts have 0 tokens. A column tokens is replaced."""
+    keep = [c for c in documents.columns if c not in (text, "tokens")]
     schema = ",".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema), "tokens int"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
