@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from obslake.functions import values as V
 from obslake.operators import catalog, dependencies, fingerprint, geo, observations, portal, profile, roles, sampling, series, sinks
+from obslake.plans.problems import TIME_TABLES
 from obslake.sources import files
 from obslake.streaming import refresh
-from obslake.tables import shared_folder, table
+from obslake.tables import shared_folder, table, union_all
 
 EVENTS = observations.Roles(unit=["user_id"], data=["value"], time="ts", seq=["event_id"], names=["event_type"])
 LINES = observations.Roles(unit=["l_suppkey"], data=["l_quantity", "l_extendedprice", "l_discount", "l_tax"], time="l_shipdate", seq=["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
@@ -339,9 +340,10 @@ def dirty_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stale_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Registered sources without any reading row."""
-    reg = table(spark, d, "source_registry").where("source_table = 'ann_arbor_rainfall'").select(F.col("source_name").alias("site"))
-    return observations.new_keys(reg, table(spark, d, "ann_arbor_rainfall").where("rainfall > 5").select("site"), ["site"])
+    """Registered sources of every source table without any reading row."""
+    reg = table(spark, d, "source_registry").select("source_table", F.col("source_name").alias("site"))
+    rows = union_all([table(spark, d, n).select(F.lit(n).alias("source_table"), F.col(x[1]).alias("site")) for n, x in TIME_TABLES.items() if x[1]])
+    return observations.new_keys(reg, rows, ["source_table", "site"])
 
 
 def streaming_buckets(spark: SparkSession, d: str) -> DataFrame:
