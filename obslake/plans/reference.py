@@ -189,10 +189,17 @@ def stream_ids(spark: SparkSession, d: str) -> DataFrame:
     return _points(spark, d).select("stream_id", "user_id", "metric").distinct()
 
 
+def _halves(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events before the middle of their time range, and those from it on; events without time are among the first."""
+    middle = e.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("__middle"))
+    both = e.crossJoin(F.broadcast(middle)).withColumn("__late", F.coalesce(F.col("ts") >= F.col("__middle"), F.lit(False)))
+    return both.where(~F.col("__late")).select(*e.columns), both.where("__late").select(*e.columns)
+
+
 def new_streams(spark: SparkSession, d: str) -> DataFrame:
-    """Streams seen in the second half that the first doesn't know."""
-    e = table(spark, d, "events")
-    return observations.new_keys(e.where("event_id % 2 = 1"), e.where("event_id < 500"), ["user_id", "event_type"])
+    """Streams seen in the second half of the time that the first doesn't know."""
+    first, second = _halves(table(spark, d, "events"))
+    return observations.new_keys(second, first, ["user_id", "event_type"])
 
 
 def reconcile_selection(spark: SparkSession, d: str) -> DataFrame:

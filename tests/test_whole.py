@@ -33,3 +33,31 @@ def test_stale_sources_count_small_readings(spark, tmp_path):
     spark.createDataFrame([], "location_name string").write.parquet(f"{d}/ann_arbor_air_quality.parquet")
     spark.createDataFrame([], "station_name string").write.parquet(f"{d}/chicago_beach_weather.parquet")
     assert QUERIES["stale_sources"](spark, d).count() == 0
+
+
+@pytest.fixture(scope="module")
+def duck():
+    if not os.path.isdir(DATA):
+        pytest.skip("the test tables aren't here")
+    c = duckdb.connect()
+    for t in ("events", "customer", "orders"):
+        c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    c.sql("create view halves as select *, ts >= (select make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) from events) as late from events")
+    return c
+
+
+def sql(duck, text):
+    return sorted(tuple(map(str, r)) for r in duck.sql(text).fetchall())
+
+
+def test_new_streams_of_the_second_half(spark, duck):
+    want = sql(duck, "select distinct user_id, event_type from halves where late except select user_id, event_type from halves where not late")
+    assert rows(QUERIES["new_streams"](spark, DATA).select("user_id", "event_type")) == want
+
+
+def test_new_streams_splits_every_row_by_time(spark, tmp_path):
+    d = str(tmp_path)
+    # ids against the order of time, all even
+    events = [(2 * i, f"2024-01-{20 - i:02d} 00:00:00", u, "x") for i, u in enumerate([9, 8, 1, 2, 3, 1])] + [(100, None, 7, "x")]
+    spark.createDataFrame(events, "event_id long, t string, user_id long, event_type string").selectExpr("event_id", "cast(t as timestamp_ntz) as ts", "user_id", "event_type").write.parquet(f"{d}/events.parquet")
+    assert rows(QUERIES["new_streams"](spark, d).select("user_id")) == [("8",), ("9",)]
