@@ -61,3 +61,20 @@ def test_new_streams_splits_every_row_by_time(spark, tmp_path):
     events = [(2 * i, f"2024-01-{20 - i:02d} 00:00:00", u, "x") for i, u in enumerate([9, 8, 1, 2, 3, 1])] + [(100, None, 7, "x")]
     spark.createDataFrame(events, "event_id long, t string, user_id long, event_type string").selectExpr("event_id", "cast(t as timestamp_ntz) as ts", "user_id", "event_type").write.parquet(f"{d}/events.parquet")
     assert rows(QUERIES["new_streams"](spark, d).select("user_id")) == [("8",), ("9",)]
+
+
+def test_reconcile_selection_has_every_customer(spark, duck):
+    got = QUERIES["reconcile_selection"](spark, DATA).collect()
+    assert sorted(r.c_custkey for r in got) == [r[0] for r in duck.sql("select c_custkey from customer order by 1").fetchall()]
+    assert all(r.saved.startswith("v1:") if r.c_custkey % 2 == 0 else r.saved == str(r.c_custkey) for r in got)
+
+
+def test_statistics_once_writes_the_hours_from_the_middle_on(spark, duck):
+    want = sql(duck, """with m as (select time_bucket(interval '1 hour', make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2)) as m from events)
+        select event_type, time_bucket(interval '1 hour', ts) as bucket, count(*) as n from events, m group by 1, 2 having count(*) filter (ts < m) = 0""")
+    assert want and rows(QUERIES["statistics_once"](spark, DATA).select("event_type", "bucket", "n")) == want
+
+
+def test_source_route_compares_with_all_events_up_to_a_time(spark, duck):
+    want = sql(duck, "select max(ts) filter (not late), max(ts), case when epoch_us(max(ts)) - epoch_us(max(ts) filter (not late)) >= 1800e6 then 'file' else 'api' end from halves")
+    assert rows(QUERIES["source_route"](spark, DATA).select("api_latest", "file_latest", "source")) == want
