@@ -1,5 +1,6 @@
 """Queries that must look at every row of their tables, against plain SQL over the whole tables."""
 
+import math
 import os
 
 import duckdb
@@ -78,3 +79,11 @@ def test_statistics_once_writes_the_hours_from_the_middle_on(spark, duck):
 def test_source_route_compares_with_all_events_up_to_a_time(spark, duck):
     want = sql(duck, "select max(ts) filter (not late), max(ts), case when epoch_us(max(ts)) - epoch_us(max(ts) filter (not late)) >= 1800e6 then 'file' else 'api' end from halves")
     assert rows(QUERIES["source_route"](spark, DATA).select("api_latest", "file_latest", "source")) == want
+
+
+def test_chao1_population_counts_all_orders(spark, duck):
+    want = duck.sql("select count(*), count(*) filter (c = 1), count(*) filter (c = 2), sum(c) from (select count(*) as c from orders group by o_custkey)").fetchall()[0]
+    got = QUERIES["chao1_population"](spark, DATA).first()
+    assert (got.observed, got.singletons, got.doubletons, got.sample_rows) == want
+    unseen = got.singletons**2 / (2 * got.doubletons) if got.doubletons else got.singletons * max(got.singletons - 1, 0) / 2
+    assert got.estimated == math.ceil(got.observed + unseen)
