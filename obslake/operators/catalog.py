@@ -90,14 +90,25 @@ def map_fields(fields: DataFrame, key: list[str], aliases: DataFrame, normal) ->
     return best.select(*key, "name", F.col("b.metric_id").alias("metric_id"), (-F.col("b.c")).alias("confidence"), F.col("b.matched_by").alias("matched_by"))
 
 
-def match_profiles(mapped: DataFrame, key: list[str], profiles: DataFrame) -> DataFrame:
-    """Per dataset the profile of the greatest confidence, 0.65 core + 0.2 support share, x 0.45 without any core metric;
-    below 0.15 none. ``profiles`` has profile_id, profile_order, kind (core, support) and metric_id."""
+def match_profiles(mapped: DataFrame, key: list[str], profiles: DataFrame, metadata: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """Per dataset the profile of the greatest confidence, 0.65 core + 0.2 support share + 0.15 metadata share, x 0.45
+    without any core metric; of datasets without fields 0.35 metadata share; below 0.15 none. The metadata share is a half
+    per term found, 1 at most. ``profiles`` has profile_id, profile_order, kind (core, support, or another for a profile
+    without metrics) and metric_id; ``metadata`` a row per dataset with the key, text and has_fields; ``terms`` profile_id
+    and term."""
     sizes = profiles.groupBy("profile_id", "profile_order").agg(F.count_if(F.col("kind") == "core").alias("cores"), F.count_if(F.col("kind") == "support").alias("supports"))
     hits = mapped.select(*key, "metric_id").distinct().join(F.broadcast(profiles), "metric_id").groupBy(*key, "profile_id").agg(F.count_if(F.col("kind") == "core").alias("c"), F.count_if(F.col("kind") == "support").alias("s"))
+    if metadata is not None and terms is not None:
+        known = terms.distinct().withColumn("__t", F.lower("term"))
+        said = metadata.select(*key, F.lower("text").alias("__text"), F.coalesce("has_fields", F.lit(False)).alias("has_fields"))
+        found = said.join(F.broadcast(known), F.contains("__text", "__t")).groupBy(*key, "profile_id").agg(F.least(F.count("*"), F.lit(2)).alias("m"), F.max("has_fields").alias("has_fields"))
+        hits = hits.join(found, [*key, "profile_id"], "full").withColumn("has_fields", F.col("c").isNotNull() | F.col("has_fields")).fillna(0, ["c", "s", "m"])
+    else:
+        hits = hits.select("*", F.lit(0).alias("m"), F.lit(True).alias("has_fields"))
     full = hits.join(F.broadcast(sizes), "profile_id")
-    conf = 0.65 * F.col("c") / F.greatest("cores", F.lit(1)) + 0.20 * F.col("s") / F.greatest("supports", F.lit(1))
-    full = full.withColumn("confidence", F.least(F.lit(1.0), F.when(F.col("c") > 0, conf).otherwise(conf * 0.45))).where("confidence >= 0.15")
+    conf = 0.65 * F.col("c") / F.greatest("cores", F.lit(1)) + 0.20 * F.col("s") / F.greatest("supports", F.lit(1)) + 0.15 * F.col("m") / 2
+    conf = F.when(~F.col("has_fields"), 0.35 * F.col("m") / 2).when(F.col("c") > 0, F.least(F.lit(1.0), conf)).otherwise(F.least(F.lit(1.0), conf) * 0.45)
+    full = full.withColumn("confidence", conf).where("confidence >= 0.15")
     return full.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("confidence"), "profile_order"))).where("rn = 1").select(*key, "profile_id", F.round("confidence", 6).alias("confidence"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obslake.functions import values as V
-from obslake.operators import catalog, dependencies, fingerprint, geo, observations, portal, profile, roles, sampling, series, sinks
+from obslake.operators import catalog, dependencies, fingerprint, geo, inspection, observations, portal, profile, roles, sampling, series, sinks
 from obslake.plans.problems import TIME_TABLES
 from obslake.sources import files
 from obslake.streaming import refresh
@@ -156,11 +156,22 @@ def grid_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dataset_structure(spark: SparkSession, d: str) -> DataFrame:
-    """Kind and fields of a table of readings."""
+    """Kind and fields of a table of readings."""
     s = profile.dataset_structure(table(spark, d, "ann_arbor_air_quality").drop("ingested_at"))
     return spark.createDataFrame([(k, "|".join(v) if isinstance(v, list) else str(v)) for k, v in s.items()], "part string, found string")
 
 
+def explorer_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Structure, nestings and hypotheses of a table, and whether they are to be confirmed."""
+    return spark.createDataFrame(inspection.report(inspection.explorer_summary(table(spark, d, "michigan_pfas").drop("row_id", "ingested_at"))), "part string, found string")
+
+
+def inspect_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """A30 of A22, A05, A24, A07, A19: the evidence of a table of readings; the sample's size is the operator's parameter."""
+    found = inspection.inspect_dataset(table(spark, d, "ann_arbor_air_quality").drop("ingested_at"), "row_id")
+    return spark.createDataFrame(inspection.report(found), "part string, found string")
+
+
 def role_hypotheses(spark: SparkSession, d: str) -> DataFrame:
     """A23."""
     return spark.createDataFrame(profile.hypotheses(profile.dataset_structure(table(spark, d, "michigan_pfas").drop("ingested_at"))), "field string, role string, confidence double")
@@ -251,7 +262,7 @@ PROFILES = [("weather", 1, "core", "air_temperature"), ("weather", 1, "core", "r
 
 
 def profile_match(spark: SparkSession, d: str) -> DataFrame:
-    """The profile of each dataset, by its fields."""
+    """The profile of each dataset, by its fields; the tables have no dataset's metadata."""
     p = spark.createDataFrame(PROFILES, "profile_id string, profile_order int, kind string, metric_id string")
     return catalog.match_profiles(ontology_mapping(spark, d), ["dataset_id"], p)
 
@@ -326,11 +337,16 @@ def canonical_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Entries per source and language with stable ids and bounded texts."""
+    """Entries per source and language with stable ids and bounded texts; corpus_fields() has the field names."""
     c = files.corpus_entries(table(spark, d, "documents"), ["portal_id", "source", "doc_id"], "text", 160)
     return c.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_distinct("corpus_id").alias("ids"), F.max(F.length("bounded_text")).alias("longest"), F.min("corpus_id").alias("first_id"))
 
 
+def corpus_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 most common field names of all datasets' snapshots. Fifty is the summary's size."""
+    return files.common_fields(table(spark, d, "open_data_field").where("name is not null"), ["dataset_id", "snapshot_no"], "name", V.corpus_identifier)
+
+
 def field_names(spark: SparkSession, d: str) -> DataFrame:
     """the normal forms of field names."""
     n = table(spark, d, "open_data_field").select("name", "label").distinct()
@@ -433,9 +449,9 @@ def record_selections(spark: SparkSession, d: str) -> DataFrame:
 ALL = [
     latest_per_stream, wide_to_streams_latest, selected_metrics, point_history_dedup, top_k_latest_per_unit, filtered_tail, cadence_median_gap, cadence_window30, freshness_staleness,
     bucket_stats_5min, bucket_stats_hourly, chao1_population, physical_ordering, retrieval_plan, stratified_sample, sampling_evidence, functional_dependencies, dimension_relationships,
-    field_behaviour, long_metric_preview, observation_shape, grid_scores, dataset_structure, role_hypotheses, unit_selections, disambiguated_labels, unit_key_tokens, stream_ids, new_streams,
+    field_behaviour, long_metric_preview, observation_shape, grid_scores, dataset_structure, explorer_summary, inspect_dataset, role_hypotheses, unit_selections, disambiguated_labels, unit_key_tokens, stream_ids, new_streams,
     reconcile_selection, score_catalog, catalog_quality, rank_catalog, search_catalog, ontology_mapping, profile_match, url_normalize, parse_reference, candidate_roots, html_links, json_envelope,
-    location_rank, coordinate_evidence, fingerprint_events, reanalysis_decisions, resource_choice, canonical_text, corpus_summary, field_names, unicode_names, dirty_numbers, stale_sources,
+    location_rank, coordinate_evidence, fingerprint_events, reanalysis_decisions, resource_choice, canonical_text, corpus_summary, corpus_fields, field_names, unicode_names, dirty_numbers, stale_sources,
     streaming_buckets, stream_discovery, statistics_once, attribute_projection, unsent_reports, pruned_sources, prepared_catalogs, source_route, role_classification, record_selections,
 ]
 

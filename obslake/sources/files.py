@@ -8,11 +8,14 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keys of the list of items in an envelope, in order; tables of a GTFS feed.
 ENVELOPE_KEYS = ["features", "records", "results", "data", "items"]
 GTFS_REQUIRED = ["agency.txt", "stops.txt", "routes.txt", "trips.txt", "stop_times.txt"]
 GTFS_CALENDARS = ["calendar.txt", "calendar_dates.txt"]
+# Bounds of the sample rows in a corpus entry: rows, characters of a text, items of a list, keys of a map, characters of its keys and of a row's.
+SAMPLE_ROWS, TEXT_CHARS, LIST_ITEMS, MAP_KEYS, KEY_CHARS, ROW_KEY_CHARS = 5, 160, 10, 20, 80, 120
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +52,41 @@ def corpus_entries(df: DataFrame, key: list[str], text: str, most: int) -> DataF
     return df.select("*", F.substring(F.sha2(lines, 256), 1, 20).alias("corpus_id"), F.substring(text, 1, most).alias("bounded_text"))
 
 
+def _entries(m: Column, of: T.MapType, chars: int, most: int | None) -> Column:
+    """The map's first ``most`` entries with keys cut; of keys that are the same then, the last stays."""
+    listed = F.map_entries(m) if most is None else F.slice(F.map_entries(m), 1, most)
+    e = F.transform(listed, lambda x: F.struct(F.substring(x["key"].cast("string"), 1, chars).alias("key"), bounded_value(x["value"], of.valueType).alias("value")))
+    last = F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.greatest(F.size(e), F.lit(1))), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
+
+
+def bounded_value(c: Column, of: T.DataType) -> Column:
+    """The value within the bounds of a corpus entry, at every depth; what is no number, list, map or structure is cut as a text."""
+    if isinstance(of, (T.BooleanType, T.IntegralType, T.FractionalType, T.NullType)):
+        return c
+    if isinstance(of, T.ArrayType):
+        return F.transform(F.slice(c, 1, LIST_ITEMS), lambda x: bounded_value(x, of.elementType))
+    if isinstance(of, T.MapType):
+        return _entries(c, of, KEY_CHARS, MAP_KEYS)
+    if isinstance(of, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[bounded_value(c[f.name], f.dataType).alias(f.name[:KEY_CHARS]) for f in of.fields[:MAP_KEYS]]))
+    return F.substring(c.cast("string"), 1, TEXT_CHARS)
+
+
+def bounded_rows(df: DataFrame, rows: str) -> DataFrame:
+    """df with its column of sample rows (an array of maps) bounded: the first 5 rows, all their keys, bounded values."""
+    of = df.schema[rows].dataType.elementType
+    return df.withColumn(rows, F.transform(F.slice(rows, 1, SAMPLE_ROWS), lambda r: _entries(r, of, ROW_KEY_CHARS, None)))
+
+
+def common_fields(fields: DataFrame, entry: list[str], name: str, normal, most: int = 50) -> DataFrame:
+    """field_name, n, unique_field_names: the most common names in normal form over the fields of all entries; ties by name.
+
+    A field listed again in its entry counts once. How many names there are in all is counted before the cut."""
+    per = fields.select(*entry, name).distinct().groupBy(normal(name).alias("field_name")).agg(F.count("*").alias("n"))
+    return per.orderBy(F.desc("n"), "field_name").limit(most).crossJoin(F.broadcast(per.agg(F.count("*").alias("unique_field_names"))))
+
+
 def gtfs_members(content: pd.Series) -> pd.Series:
     def names(b: bytes | None) -> list[str] | None:
         try:
