@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from obslake.functions.units import CONVERSIONS, ContextReader
 from obslake.tables import checkpointed, spread
 
-#: Stretches of time that each stream is cut into for the choice of its unit.
+#: Stretches of time that each stream is cut into for the choice of its unit, and the one of its rows without time, next to none.
 STRETCHES = 64
+NO_TIME = -2
 # Plausible mean and deviation in the common unit, where too few rows state a unit.
 PLAUSIBLE = {
     "air_temperature": (14.0, 9.0), "relative_humidity": (60.0, 18.0), "air_pressure": (1013.0, 12.0), "wind_speed": (5.0, 3.0), "precipitation": (5.0, 5.0),
@@ -90,9 +91,9 @@ def convert_units(observations: DataFrame, reference: DataFrame, metric_labels:
 
     # rows that name no unit: sums of log likelihoods by stream and stretch, before anything is gathered per stream
     key = F.coalesce("stream_id", F.concat(F.lit("unit:"), "unit_id"), F.lit("none"))
-    bare = read.where("stated_unit is null and number is not null and quantity is not null").select(key.alias("__stream"), "quantity", "number", F.coalesce(F.unix_micros("observed_at"), F.lit(0)).alias("__t"))
+    bare = read.where("stated_unit is null and number is not null and quantity is not null").select(key.alias("__stream"), "quantity", "number", F.unix_micros("observed_at").alias("__t"))
     spans = bare.groupBy("__stream", "quantity").agg(F.min("__t").alias("__a"), F.max("__t").alias("__b"))
-    stretch = F.when(F.col("__b") > F.col("__a"), F.least(F.floor((F.col("__t") - F.col("__a")) / (F.col("__b") - F.col("__a")) * STRETCHES), F.lit(STRETCHES - 1))).otherwise(0).cast("int")
+    stretch = F.when(F.col("__t").isNull(), NO_TIME).when(F.col("__b") > F.col("__a"), F.least(F.floor((F.col("__t") - F.col("__a")) / (F.col("__b") - F.col("__a")) * STRETCHES), F.lit(STRETCHES - 1))).otherwise(0).cast("int")
     cut = bare.join(spans, ["__stream", "quantity"]).withColumn("__cut", stretch)
     tried = cut.join(F.broadcast(factors.where("factor is not null")), "quantity").join(F.broadcast(usual.where("dev > 0")), "quantity")
     z = F.least(F.abs(F.col("number") * F.col("factor") + F.col("shift") - F.col("mean")) / F.col("dev"), F.lit(40.0))
@@ -103,7 +104,7 @@ def convert_units(observations: DataFrame, reference: DataFrame, metric_labels:
     chosen = chosen.join(spans, ["__stream", "quantity"]).select("__stream", "quantity", "__cut", F.col("__best.unit_code").alias("__plausible"))
 
     inferable = (F.col("unit_code").isNull()) & F.col("number").isNotNull() & F.col("quantity").isNotNull()
-    rest = stated.where(inferable).drop("is_common", "factor", "shift").withColumn("__stream", key).withColumn("__t", F.coalesce(F.unix_micros("observed_at"), F.lit(0)))
+    rest = stated.where(inferable).drop("is_common", "factor", "shift").withColumn("__stream", key).withColumn("__t", F.unix_micros("observed_at"))
     rest = rest.join(spans, ["__stream", "quantity"], "left").withColumn("__cut", stretch).join(chosen, ["__stream", "quantity", "__cut"], "left")
     rest = rest.withColumn("unit_code", F.col("__plausible")).withColumn("stated_in", F.when(F.col("__plausible").isNotNull(), F.lit("plausible"))).drop("__stream", "__t", "__a", "__b", "__cut", "__plausible")
     rest = rest.join(F.broadcast(factors), ["quantity", "unit_code"], "left")
