@@ -1,99 +1,54 @@
 """Problem 8: a selection of documents of several sources whose token shares meet the targets of a mixture.
 
-The tokens of each source give its repetition rate; a document is emitted floor(rate) times, and once more with the
-probability of the fraction, decided by a hash of mixture and document, so that every run and every executor agrees.
-
-Sizes are heavy-tailed: a few documents can hold much of a source, and whether the hash takes them decides the shares. So a
-source's rate is set per size class, from the largest documents to the smallest: what the hash gave of the larger classes is
-known from counts of tokens per class and cell of the hash, and the smaller classes' rate makes up for it.
+The tokens of each source give its one repetition rate; a document is emitted floor(rate) times, and once more with the
+probability of the fraction, decided by a hash of mixture and document, so that every run and every executor agrees and
+the chance of a copy depends on nothing but its source. Sizes are heavy-tailed, so what is selected differs from the
+targets by chance; the report gives the actual shares, their deviation and how much of it chance explains.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIX_ROWS = 10_000
-#: Cells of the hash that a fraction is counted in.
-CELLS = 256
+from obslake.tables import lookup_join
 
+#: Hexadecimal digits of the hash that make the number in [0, 1).
+HEX = 13
 
-def rates(sizes: dict[str, int], targets: list[tuple[str, str, float, int]]) -> list[tuple[str, str, float, int, float]]:
-    """(mix_id, source, target_share, max_repeats, rate): the largest selection whose expected shares are the targets.
 
-    A mixture's total is bounded by its scarcest source, repeated as often as it may. Sources of positive share that have
-    no tokens can't contribute: their rate is 0 and the rest keep their proportions. Shares need not add up to 1.
-    """
-    out = []
-    for mix in sorted({m for m, *_ in targets}):
-        rows = [(s, t, r) for m, s, t, r in targets if m == mix and s is not None]
-        usable = [(s, t, r) for s, t, r in rows if sizes.get(s, 0) > 0 and t > 0 and r > 0]
-        total = min((r * sizes[s] / t for s, t, r in usable), default=0.0)
-        for s, t, r in sorted(rows):
-            out.append((mix, s, t, r, min(float(r), total * t / sizes[s]) if (s, t, r) in usable else 0.0))
-    return out
+def uniform(*key: Column | str) -> Column:
+    """A number in [0, 1) from the md5 of the key's parts, the same wherever and in whatever language it is computed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, HEX), 16, 10).cast("double") / float(16**HEX)
 
 
-def class_rates(target: float, most: int, held: dict[int, dict[int, int]]) -> dict[int, tuple[int, int]]:
-    """(whole copies, hash cells with one more) of each size class, so that the tokens come closest to ``target``.
+def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows (mix_id, source, target_share, max_repeats, rate): the largest selection whose expected shares are the targets.
 
-    ``held``: tokens per size class and cell. Classes are settled from the largest sizes down; each aims at its part of
-    what is still to be had, and takes as many cells as come nearest to that.
+    ``sizes`` has source and tokens, one row per source. A mixture's total is bounded by its scarcest source, repeated as
+    often as it may. Sources of positive share that have no tokens can't contribute: their rate is 0 and the rest keep
+    their proportions. Shares need not add up to 1. Rows of ``targets`` with a null are ignored, repeated ones count
+    once; of several rows of one mixture and source the one of the least share, then the fewest repeats, holds.
     """
-    left = sum(sum(c.values()) for c in held.values())
-    out = {}
-    for size in sorted(held, reverse=True):
-        own = sum(held[size].values())
-        rate = min(float(most), max(0.0, target / left)) if left else 0.0
-        whole = min(int(rate), most)
-        aim, got, cells = rate * own - whole * own, 0, 0
-        if whole < most:
-            for cell in range(CELLS):
-                more = held[size].get(cell, 0)
-                if got + more / 2 > aim:
-                    break
-                got, cells = got + more, cell + 1
-        out[size] = (whole, cells)
-        target -= whole * own + got
-        left -= own
-    return out
-
-
-def _size_class(tokens: Column) -> Column:
-    return F.when(tokens > 0, F.floor(F.log2(tokens))).otherwise(-1).cast("int")
+    listed = targets.select("mix_id", "source", "target_share", "max_repeats").na.drop().groupBy("mix_id", "source").agg(F.min(F.struct("target_share", "max_repeats")).alias("t"))
+    own = listed.select("mix_id", "source", "t.*").join(sizes.select("source", F.col("tokens").alias("__held")), "source", "left")
+    usable = (F.col("__held") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
+    total = F.min(F.when(usable, F.col("max_repeats") * F.col("__held") / F.col("target_share"))).over(Window.partitionBy("mix_id"))
+    rate = F.when(usable, F.least(F.col("max_repeats").cast("double"), total * F.col("target_share") / F.col("__held"))).otherwise(0.0)
+    return own.select("mix_id", "source", "target_share", "max_repeats", rate.alias("rate"))
 
 
 def with_copies(documents: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
     """Rows (mix_id, source, target_share, max_repeats, rate, doc_id, tokens, copies), one per mixture and document of it.
 
     ``documents`` has doc_id, source and tokens. Documents of null or unlisted sources are in no mixture; documents of no
-    tokens are treated like others, but change no share. ``rate`` is the source's, of which classes of sizes may differ.
+    tokens are treated like others, but change no share. Repeated rows of a doc_id are copied alike.
     """
-    spark = documents.sparkSession
-    listed = targets.select("mix_id", "source", "target_share", "max_repeats").distinct().limit(MIX_ROWS + 1).collect()
-    if len(listed) > MIX_ROWS:
-        raise ValueError("mixtures have at most 10,000 rows")
-    wanted = [tuple(r) for r in listed if None not in tuple(r)]
-    mixes = spark.createDataFrame([(m, s) for m, s, *_ in wanted] or [(None, None)], "mix_id string, source string")
-    cell = F.pmod(F.xxhash64(F.lit(seed), "mix_id", "doc_id"), F.lit(CELLS)).cast("int")
-    own = documents.select("doc_id", "source", "tokens").join(F.broadcast(mixes), "source").withColumn("cell", cell).withColumn("size", _size_class(F.col("tokens")))
-    # at most mixtures x sources x 32 classes x 256 cells, whatever the number of documents
-    counted = own.groupBy("mix_id", "source", "size", "cell").agg(F.sum("tokens").alias("n")).collect()
-    sizes: dict[str, int] = {}
-    held: dict[tuple[str, str], dict[int, dict[int, int]]] = {}
-    for m, s, size, c, n in counted:
-        held.setdefault((m, s), {}).setdefault(size, {})[c] = int(n or 0)
-    for (_, s), classes in held.items():
-        sizes[s] = sum(sum(x.values()) for x in classes.values())
-    rows = []
-    for m, s, t, r, rate in rates(sizes, wanted):
-        classes = held.get((m, s), {})
-        for size, (whole, cells) in class_rates(rate * sizes.get(s, 0), r, classes).items():
-            if size < 0:  # of no tokens: at the source's rate
-                whole, cells = int(rate), round((rate - int(rate)) * CELLS)
-            rows.append((m, s, t, r, rate, size, whole, cells))
-    plan = spark.createDataFrame(rows or [(None,) * 8], "mix_id string, source string, target_share double, max_repeats int, rate double, size int, whole int, cells int")
-    return own.join(F.broadcast(plan), ["mix_id", "source", "size"]).withColumn("copies", F.least(F.col("whole") + (F.col("cell") < F.col("cells")).cast("int"), F.col("max_repeats"))).drop("size", "cell", "whole", "cells")
+    sizes = documents.where("source is not null").groupBy("source").agg(F.sum(F.col("tokens").cast("long")).alias("tokens"))
+    plan = rates(sizes, targets).groupBy("source").agg(F.collect_list(F.struct("mix_id", "target_share", "max_repeats", "rate")).alias("__mixes"))
+    own = lookup_join(documents.select("doc_id", "source", "tokens"), plan, ["source"], "inner").select("doc_id", "source", "tokens", F.inline("__mixes"))
+    more = uniform(F.lit(seed), F.col("mix_id"), F.col("doc_id").cast("string")) < F.col("rate") - F.floor("rate")
+    return own.withColumn("copies", (F.floor("rate") + more.cast("int")).cast("int"))
 
 
 def select_mix(documents: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
@@ -103,9 +58,18 @@ def select_mix(documents: DataFrame, targets: DataFrame, seed: str = "mix") -> D
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
-    """Per mixture and source: the target and the actual share of tokens, the rate, and what was selected."""
+    """Per mixture and source: the target and the actual share of tokens, the rate, what was selected, and ``deviation``,
+    actual less expected tokens, beside ``chance``, the standard deviation that the Bernoulli copies give them.
+
+    Sources without documents have no row.
+    """
+    size, part = F.col("tokens").cast("double"), F.col("rate") - F.floor("rate")
     per = with_copies(documents, targets, seed).groupBy("mix_id", "source", "target_share", "max_repeats", "rate").agg(
-        F.sum(F.when(F.col("copies") > 0, 1).otherwise(0)).alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies").cast("long") * F.col("tokens")).alias("tokens")
+        F.sum(F.when(F.col("copies") > 0, 1).otherwise(0)).alias("documents"),
+        F.sum("copies").alias("copies"),
+        F.sum(F.col("copies").cast("long") * F.col("tokens")).alias("tokens"),
+        F.sum(size * (F.col("copies") - F.col("rate"))).alias("deviation"),
+        F.sqrt(F.sum(size * size * part * (1 - part))).alias("chance"),
     )
-    total = per.groupBy("mix_id").agg(F.sum("tokens").alias("__total"))
-    return per.join(F.broadcast(total), "mix_id").withColumn("actual_share", F.when(F.col("__total") > 0, F.col("tokens") / F.col("__total")).otherwise(0.0)).drop("__total")
+    total = F.sum("tokens").over(Window.partitionBy("mix_id"))
+    return per.withColumn("actual_share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))

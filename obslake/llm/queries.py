@@ -50,6 +50,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(*_mix(spark, d))
 
 
+def p8_length_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The same by characters instead of tokens, which SQL can count."""
+    sized = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("tokens"))
+    out = mixing.mix_report(sized, table(spark, d, "mix_target"))
+    return out.select("mix_id", "source", F.round("rate", 6).alias("rate"), "documents", "copies", F.col("tokens").alias("characters"), F.round("actual_share", 6).alias("actual_share"))
+
+
 def _given(spark: SparkSession, d: str) -> set[str]:
     return {r[0] for r in _short(table(spark, d, "given_name").select("given_name"))}
 
@@ -65,8 +72,16 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_packed, p7_report, p8_selected, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p7_packed, p7_report, p8_selected, p8_shares, p8_length_shares, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p8_length_shares": """
+            with s as (select source, sum(length(text)) as held from documents where source is not null group by 1),
+            m as (select mix_id, t.source, target_share, max_repeats, held, min(max_repeats * held / target_share) over (partition by mix_id) as total from mix_target t join s using (source)),
+            r as (select mix_id, source, least(max_repeats::double, total * target_share / held) as rate from m),
+            c as (select mix_id, source, rate, length(text) as n, floor(rate)::int + (('0x' || substr(md5('mix|' || mix_id || '|' || doc_id), 1, 13))::bigint / 4503599627370496.0 < rate - floor(rate))::int as copies from documents join r using (source)),
+            p as (select mix_id, source, rate, count(*) filter (copies > 0) as documents, sum(copies)::bigint as copies, sum(copies * n)::bigint as characters from c group by 1, 2, 3)
+            select mix_id, source, round(rate, 6) as rate, documents, copies, characters, round(characters / sum(characters) over (partition by mix_id), 6) as actual_share from p""",
+    }

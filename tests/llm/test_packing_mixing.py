@@ -75,25 +75,53 @@ def test_packing_keeps_everything(spark):
         P.pack(df, 0)
 
 
-def test_rates():
-    out = {s: r for _, s, _, _, r in M.rates({"a": 100, "b": 900}, [("m", "a", 0.5, 3), ("m", "b", 0.5, 3), ("m", "none", 0.2, 3)])}
-    assert out == {"a": 3.0, "b": 300 / 900, "none": 0.0}
+TARGETS = "mix_id string, source string, target_share double, max_repeats int"
 
 
-def test_mix_meets_targets(spark):
+def test_rates(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 900), (None, 5)], "source string, tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.5, 3), ("m", "b", 0.5, 3), ("m", "b", 0.5, 3), ("m", "none", 0.2, 3), (None, "a", 0.1, 1)], TARGETS)
+    assert {r.source: r.rate for r in M.rates(sizes, targets).collect()} == {"a": 3.0, "b": 300 / 900, "none": 0.0}
+
+
+def _documents(spark, n):
     rng = random.Random(6)
-    docs = [(i, rng.choice(["a", "a", "a", "a", "b", "c", None]), int(rng.paretovariate(1.1) * 20)) for i in range(4000)] + [(9000, "a", 0)]
-    df = spark.createDataFrame(docs, "doc_id long, source string, tokens int")
-    targets = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.3, 4), ("m", "c", 0.2, 4)], "mix_id string, source string, target_share double, max_repeats int")
+    docs = [(i, rng.choice(["a", "a", "a", "a", "b", "c", None]), int(rng.paretovariate(1.3) * 20)) for i in range(n)] + [(90_000, "a", 0), (90_001, "a", None)]
+    return docs, spark.createDataFrame(docs, "doc_id long, source string, tokens int")
+
+
+def test_mix_is_off_by_chance_alone(spark):
+    _, df = _documents(spark, 8000)
+    targets = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.3, 4), ("m", "c", 0.2, 4)], TARGETS)
     report = {r.source: r for r in M.mix_report(df, targets).collect()}
-    for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
-        assert abs(report[s].actual_share - share) < 0.005
+    assert set(report) == {"a", "b", "c"}
+    for r in report.values():
+        assert abs(r.deviation) <= 4 * r.chance + 1e-9
+    assert sum(r.actual_share for r in report.values()) == pytest.approx(1)
     rows = M.select_mix(df, targets).collect()
     copies = Counter((r.doc_id, r.source) for r in rows)
     assert max(copies.values()) <= 4 and all(r.source for r in rows)
     assert len({(r.doc_id, r.copy_no) for r in rows}) == len(rows)
-    assert rows == M.select_mix(df, targets).collect() or sorted(rows) == sorted(M.select_mix(df, targets).collect())
+    assert sorted(map(str, rows)) == sorted(map(str, M.select_mix(df.repartition(7), targets).collect()))
     assert M.select_mix(df.limit(0), targets).count() == 0
+    assert M.mix_report(df, targets.limit(0)).count() == 0
+
+
+def test_copies_of_every_size_class_equal_the_rate(spark):
+    _, df = _documents(spark, 8000)
+    targets = spark.createDataFrame([(f"m{k}", s, t, 4) for k in range(4) for s, t in (("a", 0.2), ("b", 0.5), ("c", 0.3))], TARGETS)
+    seen = {}
+    for r in M.with_copies(df, targets).where("tokens > 0").collect():
+        assert r.copies in (int(r.rate), int(r.rate) + 1)
+        n = seen.setdefault((r.source, r.tokens.bit_length(), r.rate), [0, 0])
+        n[0], n[1] = n[0] + 1, n[1] + r.copies
+    checked = 0
+    for (_, _, rate), (n, copies) in seen.items():
+        part = rate - int(rate)
+        if n >= 50:
+            checked += 1
+            assert abs(copies / n - rate) <= 4.5 * (part * (1 - part) / n) ** 0.5 + 1e-9
+    assert checked >= 12
 
 
 def test_token_counts(spark):
