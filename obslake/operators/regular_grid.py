@@ -22,11 +22,11 @@ def slot_grid(deployments: DataFrame, cadence: DataFrame, shard_slots: int = SHA
 
     ``deployments`` has source, active_from, active_to (exclusive); ``cadence`` has source, cadence_minutes. Deployments
     without an end or a start, of unknown interval, or with an interval below a minute have no slots; overlapping
-    deployments have their common slots once. Deployments are expanded to shards first and the shards are spread before
+    deployments have their common slots once; of several intervals of a source the least holds. Deployments are expanded to shards first and the shards are spread before
     they are expanded to slots, so one long deployment isn't one task.
     """
     step = F.col("cadence_minutes").cast("long") * 60_000
-    spans = deployments.select("source", "active_from", "active_to").join(cadence.where("cadence_minutes >= 1").dropDuplicates(["source"]), "source").select(
+    spans = deployments.select("source", "active_from", "active_to").join(cadence.where("cadence_minutes >= 1").groupBy("source").agg(F.min("cadence_minutes").alias("cadence_minutes")), "source").select(
         "source",
         step.alias("cadence_ms"),
         div(F.unix_micros("active_from") + 999, 1000).alias("__from"),
@@ -52,11 +52,11 @@ def regular_series(readings: DataFrame, deployments: DataFrame, cadence: DataFra
     forward from the last reading with one that is at most ``max_fill_slots`` slots back (any number if None).
     ``status`` is observed, filled or empty; a slot without reading is empty or filled, and then ``last_ms`` is null or
     before the slot. Repeated rows count as readings, but don't change means of equal values. Readings outside every
-    deployment are left out.
+    deployment are left out. No column depends on ``shard_slots``.
     """
-    cadence = cadence.select("source", "cadence_minutes").dropDuplicates(["source"])
+    cadence = cadence.where("cadence_minutes >= 1").groupBy("source").agg(F.min("cadence_minutes").alias("cadence_minutes"))
     known = readings.select("source", "utc_us", "value").where(F.col("source").isNotNull() & F.col("utc_us").isNotNull())
-    placed = lookup_join(known, cadence.where("cadence_minutes >= 1").select("source", "cadence_minutes"), ["source"], "inner")
+    placed = lookup_join(known, cadence, ["source"], "inner")
     step_us = F.col("cadence_minutes").cast("long") * 60_000_000
     slot = F.call_function("div", F.col("utc_us") - F.pmod(F.col("utc_us"), step_us), step_us)
     # partial sums before the shuffle: a hot source moves one row per slot and task
@@ -69,8 +69,8 @@ def regular_series(readings: DataFrame, deployments: DataFrame, cadence: DataFra
     down = inside.orderBy("slot").rowsBetween(0, Window.unboundedFollowing)
     grid = grid.select("*", F.last(seen, True).over(up).alias("__last"), F.first(seen, True).over(down).alias("__next"), F.last(valued, True).over(up).alias("__value"))
 
-    summary = per_slot.groupBy("source", "shard").agg(F.min("slot").alias("first"), F.max("slot").alias("last"), F.max(valued).alias("lastv"))
-    shards = grid.select("source", "shard").distinct().join(summary, ["source", "shard"], "full")
+    # summaries of the deployments' slots alone: a reading outside of them is carried into no shard, whatever the shards' size
+    shards = grid.groupBy("source", "shard").agg(F.min(seen).alias("first"), F.max(seen).alias("last"), F.max(valued).alias("lastv"))
     order = Window.partitionBy("source").orderBy("shard")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     carry = shards.select("source", "shard", F.last("last", True).over(before).alias("__last0"), F.first("first", True).over(after).alias("__next0"), F.last("lastv", True).over(before).alias("__value0"))

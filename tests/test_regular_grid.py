@@ -56,3 +56,15 @@ def test_empty_and_one_minute(spark):
     assert [x.status for _, x in sorted(got.items())] == ["empty", "observed", "filled", "filled"]
     assert run(spark, [], [("m", a, a + dt.timedelta(minutes=4))], [("m", 1)])
     assert run(spark, [], [], []) == {}
+
+
+def test_no_column_depends_on_the_shards(spark):
+    rng = random.Random(9)
+    start = dt.datetime(2025, 1, 1, 10, tzinfo=dt.UTC)
+    base = int(start.timestamp() * 1e6)
+    deployments = [("a", start, start + dt.timedelta(hours=6)), ("b", start, start + dt.timedelta(hours=30)), ("b", start + dt.timedelta(hours=50), start + dt.timedelta(hours=90))]
+    readings = [("a", base - 8 * 60 * MIN, 5.0), ("b", base + 40 * 60 * MIN, 7.0)] + [("b", base + rng.randrange(100) * 60 * MIN, rng.choice([1.0, None])) for _ in range(25)]
+    for fill in (None, 3):
+        all_sizes = [{k: tuple(v) for k, v in run(spark, readings, deployments, [("a", 60), ("b", 60)], shard_slots=n, max_fill_slots=fill).items()} for n in (1, 4, 512)]
+        assert all_sizes[0] == all_sizes[1] == all_sizes[2]
+        assert all(x[-1] == "empty" and x[4] is None for (s, _), x in all_sizes[0].items() if s == "a")
