@@ -71,7 +71,7 @@ MEASURED = {"chicago_beach_weather": {"air_temperature": (-60.0, 60.0, False), "
 
 
 def _measured(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of the fields in long form: table_name, row_id, field_name, series, t, v, lo, hi, log_scale, cadence_us."""
+    """Readings of the fields in long form: row_id, series (table, field and source), t, v, lo, hi, log_scale, cadence_us."""
     parts = []
     for name, fields in MEASURED.items():
         cadence = table(spark, d, "source_registry").where((F.col("source_table") == name) & (F.col("cadence_minutes") >= 1)).groupBy(F.col("source_name").alias("__source")).agg(F.min("cadence_minutes").alias("__cadence"))
@@ -81,15 +81,16 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
         parts.append(
             rows.select("row_id", "__source", "utc_us", "__cadence", F.inline(F.array(*one)))
             .where("v is not null")
-            .select(F.lit(name).alias("table_name"), "row_id", "field_name", F.concat_ws("|", F.lit(name), "field_name", "__source").alias("series"), F.col("utc_us").alias("t"), "v", "lo", "hi", "log_scale", (F.coalesce("__cadence", F.lit(60)).cast("long") * 60_000_000).alias("cadence_us"))
+            .select("row_id", F.concat_ws("|", F.lit(name), "field_name", "__source").alias("series"), F.col("utc_us").alias("t"), "v", "lo", "hi", "log_scale", (F.coalesce("__cadence", F.lit(60)).cast("long") * 60_000_000).alias("cadence_us"))
         )
     return union_all(parts)
 
 
 def p3_flags(spark: SparkSession, d: str) -> DataFrame:
     """Every flagged reading with its kind and probability; copies of a flagged row are flagged too."""
-    rows = checkpointed(_measured(spark, d))
-    return rows.select("table_name", "row_id", "field_name", "series", "t", "v").join(anomaly.flag_readings(rows), ["series", "t", "v"]).select("table_name", "row_id", "field_name", "flag", "probability")
+    flagged = anomaly.flag_readings(checkpointed(_measured(spark, d)), ["row_id"])
+    part = F.split("series", r"\|", 3)
+    return flagged.select(part[0].alias("table_name"), "row_id", part[1].alias("field_name"), "flag", "probability")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -44,11 +44,16 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in enough partitions for all cores, for steps that cost much per row: small or unsplittable files come in few."""
+    """df in enough partitions for all cores, for steps that cost much per row: small inputs come in few.
+
+    Decided by the planner's estimate of the size, which runs no job; what is larger than all cores' scan partitions is
+    left as it is, without an exchange.
+    """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(3 * cores) if size < 2 * cores * df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

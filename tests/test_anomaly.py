@@ -62,3 +62,48 @@ def test_relative_steps(spark):
     p[250] = (p[250][0], 95.0)
     df = spark.createDataFrame(rows(p), SCHEMA).withColumn("log_scale", F.lit(True)).withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(1000.0))
     assert {r.t for r in A.flag_readings(df).collect()} == {p[250][0]}
+
+
+def test_sparse_series_are_judged_by_their_own_gap(spark):
+    rng = random.Random(8)
+    for times in (1, 3):
+        p = [(i * times * HOUR, round(15 + rng.gauss(0, 0.6), 1)) for i in range(500)]
+        for i in (120, 340):
+            p[i] = (p[i][0], p[i][1] + 30)
+        assert flags(spark, rows(p)) == {("s", p[i][0]): "spike" for i in (120, 340)}
+
+
+def test_a_series_stuck_throughout(spark):
+    assert set(flags(spark, rows([(i * HOUR, 5.0) for i in range(500)])).values()) == {"stuck"}
+    assert len(flags(spark, rows([(i * HOUR, 5.0) for i in range(500)]))) == 500
+
+
+def test_a_stretch_is_judged_alike_in_short_and_long_histories(spark):
+    got = []
+    for n in (300, 6000):
+        p = series(4, n)
+        for j in range(11):
+            p[150 + j] = (p[150 + j][0], p[150][1])
+        f = flags(spark, rows(p))
+        got.append([f.get(("s", p[150 + j][0])) for j in range(11)])
+    assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("shard", [32, 4096])
+def test_runs_across_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(A, "SHARD_READINGS", shard)
+    p = series(6, 600)
+    for j in range(150):  # longer than several shards
+        p[200 + j] = (p[200 + j][0], p[200][1])
+    p[250] = (p[250][0], 99.0)
+    got = flags(spark, rows(p))
+    assert {p[200 + j][0] for j in range(150) if j != 50} <= {t for (_, t), f in got.items() if f == "stuck"}
+    assert got["s", p[250][0]] == "out_of_range"
+    assert len(got) <= 152
+
+
+def test_keys_tell_copies_apart(spark):
+    p = series(7, 400)
+    p[50] = (p[50][0], 80.0)
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows(p) + rows([p[50]]))], SCHEMA + ", row_id long")
+    assert sorted(r.row_id for r in A.flag_readings(df, ["row_id"]).where("flag = 'out_of_range'").collect()) == [50, 400]
