@@ -52,7 +52,7 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(3 * cores) if size < 2 * cores * df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
 
 
