@@ -17,7 +17,7 @@ TIME_TABLES = {
 }
 
 
-def with_instants(spark: SparkSession, d: str, name: str, columns: list[str], estimate: bool = True) -> DataFrame:
+def with_instants(spark: SparkSession, d: str, name: str, columns: list[str], estimate: str | None = "unknown") -> DataFrame:
     """The table's row_id, source (as __source), time text and given columns, with utc_us."""
     text, source, _, zone = TIME_TABLES[name]
     df = table(spark, d, name).select("row_id", *([F.col(source).alias("__source")] if source else []), text, "ingested_at", *columns)
@@ -28,12 +28,13 @@ def with_instants(spark: SparkSession, d: str, name: str, columns: list[str], es
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose time text is unusual, with their instant. Null and empty texts are no case."""
-    return union_all([time_normalise.found(with_instants(spark, d, n, []), n, x[0], x[2]) for n, x in TIME_TABLES.items()])
+    """Rows whose time text is unusual, with their instant, zones estimated and checked against the registry. Null and
+    empty texts are no case."""
+    return union_all([time_normalise.found(with_instants(spark, d, n, [], "all"), n, x[0], x[2]) for n, x in TIME_TABLES.items()])
 
 
 def p1_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
-    """Every source's zone as estimated from arrivals alone, beside the registered one."""
+    """Every source's zone in every period as estimated from arrivals alone, beside the registered one."""
     from obslake.functions.timestamps import with_parsed_time
 
     parts = []
@@ -41,7 +42,7 @@ def p1_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
         if source:
             df = with_parsed_time(table(spark, d, name).select(F.col(source).alias("source_name"), text, "ingested_at"), text)
             bare = df.where(F.col("t_local_us").isNotNull() & F.col("t_offset_min").isNull() & F.col("t_region").isNull())
-            parts.append(time_normalise.estimate_zones(bare, "source_name", "t_local_us", "ingested_at").select(F.lit(name).alias("source_table"), "source_name", "est_zone", "violations", "readings"))
+            parts.append(time_normalise.zone_history(bare, "source_name", "t_local_us", "ingested_at").select(F.lit(name).alias("source_table"), "*"))
     registry = table(spark, d, "source_registry").select("source_table", "source_name", "zone_name")
     return union_all(parts).join(registry, ["source_table", "source_name"], "left")
 

@@ -91,3 +91,40 @@ def test_zone_is_estimated(spark, zone):
     out = T.normalise_times(df, "t", "source", zones, "ingested_at")
     assert {r[0] for r in out.select("zone_used").distinct().collect()} == {zone}
     assert out.count() == 1500
+
+
+def _moving(first, second, n=1500, spread=9.0):
+    rng, rows = random.Random(2), []
+    for i in range(n):
+        at = dt.datetime(2025, 1, 6, tzinfo=dt.UTC) + dt.timedelta(hours=i)
+        zone = ZoneInfo(first if i < n // 2 else second)
+        rows.append((i, "s", at.astimezone(zone).strftime("%Y-%m-%dT%H:%M:%S"), at + dt.timedelta(minutes=rng.uniform(0.3, spread)), int(at.timestamp())))
+    return rows
+
+
+ROWS = "row_id long, source string, t string, ingested_at timestamp, true long"
+
+
+def test_a_source_that_moves_has_a_history(spark):
+    df = spark.createDataFrame(_moving("Asia/Tokyo", "Europe/Berlin"), ROWS)
+    zones = spark.createDataFrame([("s", "Asia/Tokyo")], "source string, zone_name string")
+    out = T.normalise_times(df, "t", "source", zones, "ingested_at", estimate="all").collect()
+    wrong = sum(r.utc_us is not None and r.utc_us // 1_000_000 != r.true for r in out)
+    # what is left is the period of 28 days in which it moves
+    assert wrong <= 28 * 24 // 2 + 1 and {r.zone_used for r in out} == {"Asia/Tokyo", "Europe/Berlin"}
+
+
+def test_known_zone_settles_short_series_and_ties(spark):
+    zones = spark.createDataFrame([("s", "Etc/GMT+6")], "source string, zone_name string")
+    for n in (4, 600):  # Chicago in winter is Etc/GMT+6
+        out = T.normalise_times(spark.createDataFrame(_moving("America/Chicago", "America/Chicago", n), ROWS), "t", "source", zones, "ingested_at", estimate="all")
+        assert {r.zone_used for r in out.collect()} == {"Etc/GMT+6"}
+
+
+def test_undecided_zone(spark):
+    df = spark.createDataFrame(_moving("UTC", "UTC", 400, 9000.0), ROWS)
+    bare = T.normalise_times(df, "t", "source", None, "ingested_at").collect()
+    assert all(r.utc_us is None and r.zone_used is None for r in bare)
+    zones = spark.createDataFrame([("s", "UTC")], "source string, zone_name string")
+    assert all(r.utc_us // 1_000_000 == r.true for r in T.normalise_times(df, "t", "source", zones, "ingested_at", estimate="all").collect())
+    assert T.normalise_times(df.limit(0), "t", "source", zones, "ingested_at", estimate="all").count() == 0
