@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from obslake.llm import mixing, packing, personal, tokens
 from obslake.tables import checkpointed, table
 
-LISTED = 10_000
+#: Rows of a parameter list, and names of a list of given names, which every worker holds.
+LISTED, NAMES = 10_000, 1_000_000
 
 
 def _sized(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return tokens.with_token_counts(table(spark, d, "documents").select("doc_id", *columns, "text"))
 
 
-def _short(df: DataFrame) -> list[tuple]:
-    rows = df.distinct().limit(LISTED + 1).collect()
-    if len(rows) > LISTED:
-        raise ValueError("a parameter list has at most 10,000 rows")
+def _short(df: DataFrame, most: int = LISTED) -> list[tuple]:
+    rows = df.distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a parameter list has at most {most} rows")
     return sorted(tuple(r) for r in rows if None not in tuple(r))
 
 
@@ -58,7 +59,7 @@ def p8_length_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _given(spark: SparkSession, d: str) -> set[str]:
-    return {r[0] for r in _short(table(spark, d, "given_name").select("given_name"))}
+    return {r[0] for r in _short(table(spark, d, "given_name").select("given_name"), NAMES)}
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
