@@ -130,7 +130,12 @@ class ContextReader:
         self.finder = UnitFinder(units)
         self.labels = {normal(k): v for k, v in labels.items()}
         self.slugs = sorted(((re.sub(r"[^a-z0-9]+", "_", normal(k)).strip("_"), v) for k, v in labels.items()), key=lambda x: -len(x[0]))
-        self.longest = sorted(self.labels, key=lambda x: -len(x))
+        self.automaton = ahocorasick.Automaton()
+        for label in self.labels:
+            if label:
+                self.automaton.add_word(label, label)
+        if len(self.automaton):
+            self.automaton.make_automaton()
         self.metric = lru_cache(100_000)(self._metric)
         self.field = lru_cache(100_000)(self._field)
         self.label = lru_cache(100_000)(self._label)
@@ -138,16 +143,18 @@ class ContextReader:
     def _metric(self, metric: str) -> tuple[str | None, str | None]:
         """Quantity and unit of a metric text: the longest base label it begins with (or holds), the unit in the rest."""
         t = normal(metric)
-        for how in (str.startswith, str.__contains__):
-            for label in self.longest:
-                if how(t, label):
-                    at = t.index(label)
-                    rest = t[at + len(label) :]
-                    if rest[:1].isalnum() or (at and t[at - 1].isalnum()):
-                        continue
-                    quantity = self.labels[label]
-                    return quantity, self.finder.find(CONNECTIVE.sub("", rest), quantity)
-        return None, None
+        best: tuple[bool, int, int, str] | None = None
+        for end, label in self.automaton.iter(t) if len(self.automaton) else ():
+            at = end - len(label) + 1
+            if (end + 1 < len(t) and t[end + 1].isalnum()) or (at and t[at - 1].isalnum()):
+                continue
+            # one that the text begins with goes before others, then the longest, then the first
+            rank = (at == 0, len(label), -at, label)
+            best = max(best, rank) if best else rank
+        if best is None:
+            return None, None
+        quantity = self.labels[best[3]]
+        return quantity, self.finder.find(CONNECTIVE.sub("", t[-best[2] + best[1] :]), quantity)
 
     def _field(self, field: str, quantity: str) -> str | None:
         """Unit in what a field name has after a base label of the quantity."""

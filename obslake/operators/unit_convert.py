@@ -2,31 +2,38 @@
 
 An automaton over all unit aliases reads the texts around a number: beside it in the value, the unit column, the rest of
 the metric text, the end of the field name, a remark in the label, in this order; the quantity decides what an alias means,
-the longest alias wins. Numbers whose row names no unit get the unit that makes the values of their stream plausible:
-per stream and stretch of time, the likelihood of each unit under the values that stated units gave for the quantity.
-Factors to the common unit are joined from a small fixed table.
+the longest alias wins. Numbers whose row names no unit get the unit that makes the values of their stream plausible: per
+stream and day, the likelihood of each unit under what is usual for the quantity, and over the days the likeliest
+sequence of units, in which a change of unit has its price. What is usual is told by the values of stated units, together
+with a table of priors that count as much as PRIOR_ROWS rows. Factors to the common unit are joined from a small fixed table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obslake.functions.timestamps import div
 from obslake.functions.units import CONVERSIONS, ContextReader
-from obslake.tables import checkpointed, spread
+from obslake.tables import checkpointed, lookup_join, spread
 
-#: Stretches of time that each stream is cut into for the choice of its unit, and the one of its rows without time, next to none.
-STRETCHES = 64
-NO_TIME = -2
-# Plausible mean and deviation in the common unit, where too few rows state a unit.
-PLAUSIBLE = {
+#: Length of a stretch of time in which a stream has one unit, and the one of its rows without time.
+STRETCH_US = 86_400_000_000
+NO_TIME = -(2**40)
+#: Plausible mean and deviation of quantities in their common unit; a parameter of convert_units.
+PRIORS = {
     "air_temperature": (14.0, 9.0), "relative_humidity": (60.0, 18.0), "air_pressure": (1013.0, 12.0), "wind_speed": (5.0, 3.0), "precipitation": (5.0, 5.0),
     "pm2_5": (11.0, 8.0), "nitrogen_dioxide": (17.0, 9.0), "water_level": (2.4, 1.5), "streamflow": (12.0, 9.0), "pfos": (6.0, 5.0),
 }
-LEAST_STATED = 30
+#: Rows that a prior counts as.
+PRIOR_ROWS = 30.0
+#: Loss of log likelihood by a change of unit from one stretch to the next.
+CHANGE = 6.0
 SMALL_LIST = 10_000
 
 
@@ -63,20 +70,65 @@ def read_units(observations: DataFrame, units: list[tuple[str, str]], labels: di
     return observations.mapInArrow(read, schema)
 
 
-def convert_units(observations: DataFrame, reference: DataFrame, metric_labels: DataFrame) -> DataFrame:
+def usual_values(stated: DataFrame, quantities: list[str], priors: dict[str, tuple[float, float]]) -> DataFrame:
+    """Rows (quantity, mean, dev) in common units: the stated values and the prior, blended by their weights.
+
+    ``stated`` has quantity and value. The prior counts as PRIOR_ROWS rows, whatever the number of stated ones; a quantity
+    without prior has the stated values alone, one without either no row.
+    """
+    seen = stated.groupBy("quantity").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    prior = stated.sparkSession.createDataFrame([(q, *map(float, priors.get(q, (0.0, 0.0))), PRIOR_ROWS if q in priors else 0.0) for q in quantities] or [(None,) * 4], "quantity string, pm double, ps double, w double")
+    n, m, v = (F.coalesce(c, F.lit(0.0)) for c in ("n", "m", "v"))
+    mean = (n * m + F.col("w") * F.col("pm")) / (n + F.col("w"))
+    spread_ = (n * (v + (m - mean) ** 2) + F.col("w") * (F.col("ps") ** 2 + (F.col("pm") - mean) ** 2)) / (n + F.col("w"))
+    out = prior.join(F.broadcast(seen), "quantity", "left").where(n + F.col("w") > 0)
+    return out.select("quantity", mean.alias("mean"), F.sqrt(spread_).alias("dev")).where("dev > 0")
+
+
+def likeliest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The unit of each stretch of one stream and quantity: the likeliest sequence. Ties go to the common unit, then in
+    order of code; rows without time are judged apart."""
+    units = sorted(set(zip(~pdf.is_common.to_numpy(bool), pdf.unit_code)))
+    codes = [u for _, u in units]
+    cuts = np.sort(pdf["__cut"].unique())
+    ll = np.zeros((len(cuts), len(codes)))
+    ll[np.searchsorted(cuts, pdf["__cut"]), [codes.index(u) for u in pdf.unit_code]] = np.round(pdf["__ll"], 6)
+    whole = int(ll.sum(0).argmax())
+    if (ll.argmax(1) == whole).all():
+        return pd.DataFrame({"__stream": pdf["__stream"].iloc[0], "quantity": pdf.quantity.iloc[0], "__cut": cuts, "__plausible": codes[whole]})
+    back, best = np.zeros(ll.shape, int), None
+    for i, row in enumerate(ll):
+        if best is None or cuts[i - 1] == NO_TIME:
+            back[i] = -1 if best is None else int(best.argmax())
+            best = row.copy()
+            continue
+        top = int(best.argmax())
+        moved = best[top] - CHANGE > best
+        back[i] = np.where(moved, top, np.arange(len(codes)))
+        best = np.where(moved, best[top] - CHANGE, best) + row
+    at = np.empty(len(cuts), int)
+    at[-1] = best.argmax()
+    for i in range(len(cuts) - 1, 0, -1):
+        at[i - 1] = back[i, at[i]]
+    return pd.DataFrame({"__stream": pdf["__stream"].iloc[0], "quantity": pdf.quantity.iloc[0], "__cut": cuts, "__plausible": [codes[i] for i in at]})
+
+
+def convert_units(observations: DataFrame, reference: DataFrame, metric_labels: DataFrame, priors: dict[str, tuple[float, float]] = PRIORS) -> DataFrame:
     """Adds quantity, number, unit_code, unit_from, is_common and common_value.
 
     ``unit_from`` tells where the unit is stated, or ``plausible`` if it was chosen by the values; null where there is
-    no number or no known quantity, and then unit_code and common_value are null too. Rows without stream are judged
-    together by unit_id, rows without time together. Ties between units go to the common one, then in order of code.
-    A unit of ``reference`` without a known factor keeps its code and has a null common_value. Columns of the new ones'
-    names are replaced.
+    no number or no known quantity, and then unit_code and common_value are null too, as they are for a quantity of
+    which neither a stated value nor a prior tells what is plausible. Rows without stream are judged together by
+    unit_id, rows without time together. Ties between units go to the common one, then in order of code. A unit of
+    ``reference`` without a known factor keeps its code and has a null common_value. Columns of the new ones' names are
+    replaced.
     """
     observations = observations.drop("quantity", "number", "unit_code", "unit_from", "is_common", "common_value", "stated_unit", "stated_in", "factor", "shift")
     units = small_pairs(reference.select("quantity", "unit_code"))
     labels = dict(small_pairs(metric_labels.select("metric_label", "quantity")))
     spark = observations.sparkSession
     # read once: the texts are the costly part, and several steps need the result
+    key = F.coalesce("stream_id", F.concat(F.lit("unit:"), "unit_id"), F.lit("none"))
     read = checkpointed(read_units(spread(observations), units, labels))
     common = set(small_pairs(reference.where("is_common = 1").select("quantity", "unit_code")))
     rows = [(q, u, (q, u) in common, *CONVERSIONS.get((q, u), (None, None))) for q, u in units]
@@ -84,29 +136,20 @@ def convert_units(observations: DataFrame, reference: DataFrame, metric_labels:
 
     stated = read.withColumnRenamed("stated_unit", "unit_code").join(F.broadcast(factors), ["quantity", "unit_code"], "left")
     value = F.col("number") * F.col("factor") + F.col("shift")
-    seen = stated.where("unit_code is not null").groupBy("quantity").agg(F.count("*").alias("__n"), F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
-    usual = spark.createDataFrame([(q, *PLAUSIBLE.get(q, (None, None))) for q in sorted({q for q, _ in units})] or [(None,) * 3], "quantity string, pm double, ps double")
-    enough = F.coalesce(F.col("__n") >= LEAST_STATED, F.lit(False)) & (F.col("__s") > 0)
-    usual = usual.join(F.broadcast(seen), "quantity", "left").select("quantity", F.when(enough, F.col("__m")).otherwise(F.col("pm")).alias("mean"), F.when(enough, F.col("__s")).otherwise(F.col("ps")).alias("dev"))
+    usual = usual_values(stated.where("unit_code is not null").select("quantity", value.alias("value")), sorted({q for q, _ in units}), priors)
 
     # rows that name no unit: sums of log likelihoods by stream and stretch, before anything is gathered per stream
-    key = F.coalesce("stream_id", F.concat(F.lit("unit:"), "unit_id"), F.lit("none"))
-    bare = read.where("stated_unit is null and number is not null and quantity is not null").select(key.alias("__stream"), "quantity", "number", F.unix_micros("observed_at").alias("__t"))
-    spans = bare.groupBy("__stream", "quantity").agg(F.min("__t").alias("__a"), F.max("__t").alias("__b"))
-    stretch = F.when(F.col("__t").isNull(), NO_TIME).when(F.col("__b") > F.col("__a"), F.least(F.floor((F.col("__t") - F.col("__a")) / (F.col("__b") - F.col("__a")) * STRETCHES), F.lit(STRETCHES - 1))).otherwise(0).cast("int")
-    cut = bare.join(spans, ["__stream", "quantity"]).withColumn("__cut", stretch)
-    tried = cut.join(F.broadcast(factors.where("factor is not null")), "quantity").join(F.broadcast(usual.where("dev > 0")), "quantity")
+    inferable = F.col("unit_code").isNull() & F.col("number").isNotNull() & F.col("quantity").isNotNull()
+    stretch = F.coalesce(div(F.unix_micros("observed_at"), STRETCH_US), F.lit(NO_TIME))
+    bare = stated.where(inferable).select(key.alias("__stream"), "quantity", "number", stretch.alias("__cut"))
+    tried = bare.join(F.broadcast(factors.where("factor is not null")), "quantity").join(F.broadcast(usual), "quantity")
     z = F.least(F.abs(F.col("number") * F.col("factor") + F.col("shift") - F.col("mean")) / F.col("dev"), F.lit(40.0))
     sums = tried.groupBy("__stream", "quantity", "__cut", "unit_code", "is_common").agg(F.sum(-z * z / 2 + F.log(F.abs("factor"))).alias("__ll"))
-    near = Window.partitionBy("__stream", "quantity", "unit_code").orderBy("__cut").rangeBetween(-1, 1)
-    smooth = sums.withColumn("__ll", F.col("__ll") + 0.5 * (F.sum("__ll").over(near) - F.col("__ll")))
-    chosen = smooth.groupBy("__stream", "quantity", "__cut").agg(F.min(F.struct((-F.round("__ll", 6)).alias("a"), (~F.col("is_common")).alias("b"), "unit_code")).alias("__best"))
-    chosen = chosen.join(spans, ["__stream", "quantity"]).select("__stream", "quantity", "__cut", F.col("__best.unit_code").alias("__plausible"))
-
-    inferable = (F.col("unit_code").isNull()) & F.col("number").isNotNull() & F.col("quantity").isNotNull()
-    rest = stated.where(inferable).drop("is_common", "factor", "shift").withColumn("__stream", key).withColumn("__t", F.unix_micros("observed_at"))
-    rest = rest.join(spans, ["__stream", "quantity"], "left").withColumn("__cut", stretch).join(chosen, ["__stream", "quantity", "__cut"], "left")
-    rest = rest.withColumn("unit_code", F.col("__plausible")).withColumn("stated_in", F.when(F.col("__plausible").isNotNull(), F.lit("plausible"))).drop("__stream", "__t", "__a", "__b", "__cut", "__plausible")
+    # one row per unit and day of a stream is gathered, however many readings it has
+    chosen = sums.groupBy("__stream", "quantity").applyInPandas(likeliest, "__stream string, quantity string, __cut bigint, __plausible string")
+
+    rest = stated.where(inferable).drop("is_common", "factor", "shift", "unit_code", "stated_in").withColumn("__stream", key).withColumn("__cut", stretch)
+    rest = lookup_join(rest, checkpointed(chosen), ["__stream", "quantity", "__cut"]).withColumn("stated_in", F.when(F.col("__plausible").isNotNull(), F.lit("plausible"))).withColumnRenamed("__plausible", "unit_code").drop("__stream", "__cut")
     rest = rest.join(F.broadcast(factors), ["quantity", "unit_code"], "left")
     out = stated.where(~inferable).unionByName(rest)
     return out.select(*observations.columns, "quantity", "number", "unit_code", F.when(F.col("unit_code").isNotNull(), F.col("stated_in")).alias("unit_from"), "is_common", F.when(F.col("unit_code").isNotNull(), value).alias("common_value"))

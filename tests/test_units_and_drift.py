@@ -75,3 +75,32 @@ def test_changes_and_table(spark):
 
 def test_no_snapshots(spark):
     assert S.changes(tables(spark, [], [])).count() == 0
+
+
+def test_a_prior_is_blended_by_its_weight(spark):
+    stated = lambda n: spark.createDataFrame([("air_temperature", 30.0 + i % 3) for i in range(n)] + [("new", 5.0 + i % 2) for i in range(n)], "quantity string, value double")
+    means = [{r.quantity: r.mean for r in C.usual_values(stated(n), ["air_temperature", "new", "none"], C.PRIORS).collect()} for n in (2, 29, 30, 31, 3000)]
+    temperature = [m["air_temperature"] for m in means]
+    assert temperature == sorted(temperature) and temperature[0] < 16 < 30 < temperature[-1]
+    assert abs(temperature[2] - temperature[1]) < 0.6 and abs(temperature[3] - temperature[2]) < 0.6
+    assert all(m["new"] == pytest.approx(5.5, abs=0.1) and "none" not in m for m in means)
+
+
+def test_units_of_streams_with_an_early_outlier_and_without_time(spark):
+    t0 = dt.datetime(2025, 3, 1)
+    unit = lambda i: 290.0 if i < 60 else 15.0
+    rows = [(i, "k", "u", "temperature", "t", str(unit(i) + i % 4), None, None, t0 + dt.timedelta(hours=12 * i)) for i in range(120)]
+    rows += [(500, "k", "u", "temperature", "t", "288", None, None, dt.datetime(1971, 1, 1)), (501, "k", "u", "temperature", "t", "16", None, None, None)]
+    df = spark.createDataFrame(rows, "obs_id long, stream_id string, unit_id string, metric string, source_field string, value string, unit string, record_label string, observed_at timestamp")
+    ref = spark.createDataFrame([(q, u, int(f == (1.0, 0.0))) for (q, u), f in U.CONVERSIONS.items()], "quantity string, unit_code string, is_common int")
+    lab = spark.createDataFrame(list(LABELS.items()), "metric_label string, quantity string")
+    got = {r.obs_id: r.unit_code for r in C.convert_units(df, ref, lab).collect()}
+    assert [got[i] for i in range(120)] == ["kelvin"] * 60 + ["degC"] * 60
+    assert got[500] == "kelvin" and got[501] == "degC"
+
+
+def test_many_labels_longest_and_first():
+    r = U.ContextReader(UNITS, LABELS)
+    assert r.metric("max air temperature of rain") == ("air_temperature", None)
+    assert r.metric("rain temperature") == ("precipitation", None)
+    assert r.metric("training") == (None, None) and U.ContextReader([], {}).metric("x") == (None, None)
