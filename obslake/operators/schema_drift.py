@@ -1,59 +1,103 @@
 """Problem 5: schemas that drift between snapshots: the list of changes, and all rows in one consistent table.
 
-A catalogue of column lifespans is built per dataset and field name: the islands of consecutive snapshots that have the
-field. Where an island starts or ends beside an existing snapshot a field was added or removed, unless a start and an end
-at the same snapshot are one field under two names; changes of type class lie inside an island. Renames chain lifespans to
-one column, whose casts follow from the classes of the type alias table.
+A catalogue of column lifespans is built per dataset and field name, from listed fields, fingerprints or the footers of
+files: the islands of consecutive snapshots that have the field, by the snapshots before and after each. Where an island
+starts or ends beside an existing snapshot a field was added or removed, unless a start and an end at the same snapshot are
+one field under two names; changes of type class lie inside an island. Starts and ends are paired by rank within what they
+have in common, in one aggregate each, without a join. Renames chain lifespans to one column, whose casts follow from the
+classes of the type alias table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from obslake.tables import checkpointed, lookup_join
+from obslake.tables import checkpointed, lookup_join, spread
 
 NAME = ["dataset_id", "name"]
 
 
+def footer_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of the Parquet files below ``folder``, one subfolder per dataset, from their footers alone.
+
+    Rows (dataset_id, snapshot_no, ordinal, name, label, description, data_type, captured_at) as in a list of fields: a
+    dataset's files are its snapshots, numbered from 1 in order of their names; label and description are those of the
+    field's metadata, if it has any. Executors read the footers, whole files are never read. Files that are no Parquet
+    have no fields.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select("path", F.col("modificationTime").alias("captured_at"))
+    files = files.select("captured_at", "path", F.element_at(F.split("path", "/"), -2).alias("dataset_id"), F.element_at(F.split("path", "/"), -1).alias("__file"))
+    files = files.withColumn("snapshot_no", F.row_number().over(Window.partitionBy("dataset_id").orderBy("__file", "path"))).drop("__file")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for at, path, dataset, number in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                system, inside = fs.FileSystem.from_uri(path.replace("file:///", "file:/", 1).replace("file:/", "file:///", 1))
+                try:
+                    schema = pq.read_schema(inside, filesystem=system)
+                except pa.ArrowInvalid:
+                    continue
+                for k, f in enumerate(schema):
+                    own = {x.decode(): y.decode() for x, y in (f.metadata or {}).items()}
+                    rows.append((dataset, number, k + 1, f.name, own.get("label"), own.get("description"), str(f.type), at))
+            cols = list(zip(*rows)) or [()] * 8
+            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), batch.schema.field(0).type]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["dataset_id", "snapshot_no", "ordinal", "name", "label", "description", "data_type", "captured_at"])
+
+    return spread(files).mapInArrow(read, "dataset_id string, snapshot_no int, ordinal int, name string, label string, description string, data_type string, captured_at timestamp")
+
+
 def snapshot_fields(listed: DataFrame, fingerprints: DataFrame, aliases: DataFrame) -> DataFrame:
-    """One row per dataset, snapshot and field name: label, description, data_type, type_class.
+    """One row per dataset, snapshot and field name: label, description, data_type, ordinal, type_class.
 
     Fields come from ``listed``; for a snapshot it doesn't list, from the schema_json of ``fingerprints`` ([name, type]
     pairs; unreadable JSON gives no fields), without label and description. Repeated rows count once; if rows of one
     field differ, the least label, description and type are taken. Rows with null names are ignored. A type that
     ``aliases`` lacks is its own class.
     """
-    own = listed.where("dataset_id is not null and snapshot_no is not null and name is not null").groupBy("dataset_id", "snapshot_no", "name").agg(F.min("label").alias("label"), F.min("description").alias("description"), F.min("data_type").alias("data_type"), F.min("ordinal").alias("ordinal"))
-    missing = fingerprints.select("dataset_id", "snapshot_no", "schema_json").join(own.select("dataset_id", "snapshot_no").distinct(), ["dataset_id", "snapshot_no"], "left_anti")
-    pairs = missing.select("dataset_id", "snapshot_no", F.posexplode(F.from_json("schema_json", "array<array<string>>")).alias("ordinal", "f"))
-    spare = pairs.where(F.col("f")[0].isNotNull()).groupBy("dataset_id", "snapshot_no", F.col("f")[0].alias("name")).agg(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("description"), F.min(F.get("f", F.lit(1))).alias("data_type"), F.min("ordinal").alias("ordinal"))
-    fields = own.unionByName(spare).withColumn("__type", F.lower(F.trim("data_type")))
-    classes = aliases.select(F.lower(F.trim("data_type")).alias("__type"), "type_class").dropDuplicates(["__type"])
+    none = F.lit(None).cast("string")
+    own = listed.where("dataset_id is not null and snapshot_no is not null and name is not null").select("dataset_id", "snapshot_no", "name", F.lit(1).alias("__own"), "label", "description", "data_type", "ordinal")
+    pairs = fingerprints.where("dataset_id is not null and snapshot_no is not null").select("dataset_id", "snapshot_no", F.posexplode(F.from_json("schema_json", "array<array<string>>")).alias("ordinal", "f"))
+    pairs = pairs.where(F.col("f")[0].isNotNull()).select("dataset_id", "snapshot_no", F.col("f")[0].alias("name"), F.lit(0).alias("__own"), none.alias("label"), none.alias("description"), F.get("f", F.lit(1)).alias("data_type"), "ordinal")
+    fields = own.unionByName(pairs).groupBy("dataset_id", "snapshot_no", "name", "__own").agg(*[F.min(c).alias(c) for c in ("label", "description", "data_type", "ordinal")])
+    fields = fields.withColumn("__any", F.max("__own").over(Window.partitionBy("dataset_id", "snapshot_no"))).where("__own = __any").drop("__own", "__any").withColumn("__type", F.lower(F.trim("data_type")))
+    classes = aliases.groupBy(F.lower(F.trim("data_type")).alias("__type")).agg(F.min("type_class").alias("type_class"))
     return lookup_join(fields, classes, ["__type"]).withColumn("type_class", F.coalesce("type_class", "__type")).drop("__type")
 
 
 def lifespans(fields: DataFrame) -> DataFrame:
-    """The fields with ``since`` and ``until``, the first and last snapshot of their island, ``starts``, ``ends``: whether
-    the dataset has a snapshot just before or after it, and ``old_class``: the type class one snapshot earlier."""
+    """The fields with ``since`` and ``until``, the first and last snapshot of their island, ``starts`` and ``ends``:
+    whether the field comes with this snapshot or goes after it while the dataset has the snapshot before or after, and
+    ``old_class``, a struct of the type class one snapshot earlier, null if it isn't there."""
+    along = Window.partitionBy("dataset_id").orderBy("snapshot_no")
+    beside = lambda c, step, w: F.coalesce((F.lag(c) if step < 0 else F.lead(c)).over(w) == F.col(c) + step, F.lit(False))
+    snaps = fields.select("dataset_id", "snapshot_no").distinct().select("*", beside("snapshot_no", -1, along).alias("__prev"), beside("snapshot_no", 1, along).alias("__next"))
+    out = lookup_join(fields, snaps, ["dataset_id", "snapshot_no"], "inner")
     order = Window.partitionBy(*NAME).orderBy("snapshot_no")
-    island = F.col("snapshot_no") - F.row_number().over(order)
-    out = fields.select("*", island.alias("__island"), F.when(F.lag("snapshot_no").over(order) == F.col("snapshot_no") - 1, F.struct(F.lag("type_class").over(order).alias("c"))).alias("__old"))
-    whole = Window.partitionBy(*NAME, "__island")
-    out = out.select("*", F.min("snapshot_no").over(whole).alias("since"), F.max("snapshot_no").over(whole).alias("until"))
-    # a dataset's snapshots are few beside its fields, but joined like any other table
-    snaps = fields.select("dataset_id", "snapshot_no").distinct()
-    before = snaps.select("dataset_id", (F.col("snapshot_no") + 1).alias("since"), F.lit(True).alias("starts"))
-    after = snaps.select("dataset_id", (F.col("snapshot_no") - 1).alias("until"), F.lit(True).alias("ends"))
-    return out.join(before, ["dataset_id", "since"], "left").join(after, ["dataset_id", "until"], "left").drop("__island")
-
-
-def _paired(gone: DataFrame, come: DataFrame, by: str) -> DataFrame:
-    """Ends and starts of one snapshot with the same value of ``by``, the k-th of each with the k-th of the other."""
-    rank = Window.partitionBy("dataset_id", "snapshot_no", by).orderBy("name")
-    a = gone.where(F.col(by).isNotNull()).select("dataset_id", "snapshot_no", by, F.col("name").alias("old_name"), F.row_number().over(rank).alias("__k"))
-    b = come.where(F.col(by).isNotNull()).select("dataset_id", "snapshot_no", by, F.col("name").alias("new_name"), F.row_number().over(rank).alias("__k"))
-    return a.join(b, ["dataset_id", "snapshot_no", by, "__k"]).select("dataset_id", "snapshot_no", "old_name", "new_name")
+    here = out.select(
+        "*",
+        beside("snapshot_no", -1, order).alias("__had"),
+        beside("snapshot_no", 1, order).alias("__has"),
+        F.lag("type_class").over(order).alias("__class"),
+    )
+    whole = order.rowsBetween(Window.unboundedPreceding, 0)
+    rest = order.rowsBetween(0, Window.unboundedFollowing)
+    return here.select(
+        *fields.columns,
+        F.last(F.when(~F.col("__had"), F.col("snapshot_no")), True).over(whole).alias("since"),
+        F.first(F.when(~F.col("__has"), F.col("snapshot_no")), True).over(rest).alias("until"),
+        (F.col("__prev") & ~F.col("__had")).alias("starts"),
+        (F.col("__next") & ~F.col("__has")).alias("ends"),
+        F.when(F.col("__had"), F.struct(F.col("__class").alias("c"))).alias("old_class"),
+    )
 
 
 def changes(spans: DataFrame) -> DataFrame:
@@ -62,21 +106,27 @@ def changes(spans: DataFrame) -> DataFrame:
     A renamed field is an end and a start at one snapshot with the same label, or else the same description; each field
     is renamed at most once in a snapshot, in order of names on ties. A snapshot without its predecessor has no changes.
     """
-    come = spans.where("starts and snapshot_no = since").select("dataset_id", "snapshot_no", "name", "label", "description")
-    gone = spans.where("ends and snapshot_no = until").select("dataset_id", (F.col("snapshot_no") + 1).alias("snapshot_no"), "name", "label", "description")
+    name, none, n = F.col("name"), F.lit(None).cast("string"), F.col("snapshot_no")
+    event = lambda when, at, old, new: F.when(when, F.struct(at.alias("at"), old.alias("old_name"), new.alias("new_name")))
+    retyped = F.col("old_class").isNotNull() & ~F.col("old_class.c").eqNullSafe(F.col("type_class"))
+    found = F.array(event(F.col("starts"), n, none, name), event(F.col("ends"), n + 1, name, none), event(retyped, n, name, name))
+    events = spans.select("dataset_id", "label", "description", F.inline(F.filter(found, lambda x: x.isNotNull()))).withColumnRenamed("at", "snapshot_no")
     key = ["dataset_id", "snapshot_no"]
 
-    def without(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-        return df.join(pairs.select(*key, F.col(side).alias("name")), [*key, "name"], "left_anti")
-
-    first = _paired(gone, come, "label")
-    gone2, come2 = without(gone, first, "old_name"), without(come, first, "new_name")
-    second = _paired(gone2, come2, "description")
-    renamed = first.unionByName(second)
-    added = without(come2, second, "new_name").select(*key, F.lit("").alias("old_name"), F.col("name").alias("new_name"), F.lit("added").alias("change"))
-    removed = without(gone2, second, "old_name").select(*key, F.col("name").alias("old_name"), F.lit("").alias("new_name"), F.lit("removed").alias("change"))
-    retyped = spans.where(F.col("__old").isNotNull() & ~F.col("__old.c").eqNullSafe(F.col("type_class"))).select(*key, F.col("name").alias("old_name"), F.col("name").alias("new_name"), F.lit("type_class").alias("change"))
-    return renamed.withColumn("change", F.lit("renamed")).unionByName(added).unionByName(removed).unionByName(retyped)
+    def paired(df: DataFrame, by: str) -> DataFrame:
+        """Starts and ends with the same value of ``by``: the k-th of each become one row; all else is left as it is."""
+        old, new = F.col("old_name"), F.col("new_name")
+        # what has nothing in common with others, or is done, is a group of its own
+        own = F.concat_ws("\0", F.lit("own"), F.coalesce(old, F.lit("")), F.coalesce(new, F.lit("")))
+        common = F.when(F.col(by).isNotNull() & (old.isNull() | new.isNull()), F.concat(F.lit("by\0"), F.col(by))).otherwise(own)
+        rank = Window.partitionBy(*key, "__by", old.isNull()).orderBy(F.coalesce(old, new))
+        ranked = df.withColumn("__by", common).withColumn("__k", F.row_number().over(rank))
+        return ranked.groupBy(*key, "__by", "__k").agg(*[F.max(c).alias(c) for c in ("old_name", "new_name", "label", "description")]).drop("__by", "__k")
+
+    out = paired(paired(events, "label"), "description")
+    old, new = F.col("old_name"), F.col("new_name")
+    change = F.when(old.isNull(), "added").when(new.isNull(), "removed").when(old == new, "type_class").otherwise("renamed")
+    return out.select(*key, F.coalesce(old, F.lit("")).alias("old_name"), F.coalesce(new, F.lit("")).alias("new_name"), change.alias("change"))
 
 
 def _common(classes: Column) -> Column:

@@ -111,17 +111,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    return checkpointed(schema_drift.lifespans(schema_drift.snapshot_fields(table(spark, d, "open_data_field"), table(spark, d, "analysis_fingerprint"), table(spark, d, "type_alias"))))
+    return schema_drift.lifespans(checkpointed(schema_drift.snapshot_fields(table(spark, d, "open_data_field"), table(spark, d, "analysis_fingerprint"), table(spark, d, "type_alias"))))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of a dataset's fields from one snapshot to the next."""
-    return schema_drift.changes(_spans(spark, d)).select("dataset_id", "snapshot_no", "old_name", "new_name").distinct()
+    return schema_drift.changes(_spans(spark, d)).select("dataset_id", "snapshot_no", "old_name", "new_name")
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
     """All rows under consistent column names and types, as one JSON object each, keys in order of the snapshot's names."""
-    spans = _spans(spark, d)
+    spans = checkpointed(_spans(spark, d))
     renamed = schema_drift.changes(spans).where("change = 'renamed'").select("dataset_id", "snapshot_no", "old_name", "new_name")
     out = schema_drift.consistent_rows(table(spark, d, "open_data_row"), schema_drift.columns(spans, renamed))
     return out.select("dataset_id", "snapshot_no", "row_no", "file_name", F.to_json("record", {"ignoreNullFields": "false"}).alias("record_json"))

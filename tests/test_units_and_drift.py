@@ -104,3 +104,34 @@ def test_many_labels_longest_and_first():
     assert r.metric("max air temperature of rain") == ("air_temperature", None)
     assert r.metric("rain temperature") == ("precipitation", None)
     assert r.metric("training") == (None, None) and U.ContextReader([], {}).metric("x") == (None, None)
+
+
+def test_fields_from_footers(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "rain").mkdir()
+    label = {b"label": b"Rain depth"}
+    a = pa.schema([pa.field("site", pa.string()), pa.field("rain", pa.int64(), metadata=label), pa.field("flag", pa.bool_())])
+    b = pa.schema([pa.field("site", pa.string()), pa.field("rain_mm", pa.int64(), metadata=label), pa.field("flag", pa.string())])
+    for n, schema in enumerate((a, b)):
+        pq.write_table(pa.table({f.name: pa.array([], f.type) for f in schema}, schema=schema), str(tmp_path / "rain" / f"{n}.parquet"))
+    (tmp_path / "rain" / "2.parquet").write_bytes(b"not a footer at all")
+    listed = S.footer_fields(spark, str(tmp_path))
+    fingerprints = spark.createDataFrame([], "dataset_id string, snapshot_no int, schema_json string")
+    aliases = spark.createDataFrame([("int64", "integer"), ("bool", "boolean"), ("string", "text")], "data_type string, type_class string")
+    spans = S.lifespans(S.snapshot_fields(listed, fingerprints, aliases))
+    got = sorted(tuple(r) for r in S.changes(spans).collect())
+    assert got == [("rain", 2, "flag", "flag", "type_class"), ("rain", 2, "rain", "rain_mm", "renamed")]
+
+
+def test_changes_of_islands_and_ties(spark):
+    rows = [("d", n, "x", None, None, "text") for n in (1, 2, 4, 5)] + [("d", n, "keep", None, None, "text") for n in (1, 2, 3, 4, 5)]
+    rows += [("d", 1, f"old{k}", "L", None, "text") for k in (1, 2, 3)] + [("d", 2, f"new{k}", "L", None, "text") for k in (1, 2)]
+    rows += [("d", 2, "p", "A", "same", "text"), ("d", 3, "q", "B", "same", "text"), ("e", 7, "only", None, None, "text")]
+    fields = spark.createDataFrame([(*r, 0, "text") for r in rows], "dataset_id string, snapshot_no int, name string, label string, description string, data_type string, ordinal int, type_class string")
+    got = {tuple(r)[1:] for r in S.changes(S.lifespans(fields)).collect()}
+    assert {(2, "old1", "new1", "renamed"), (2, "old2", "new2", "renamed"), (2, "old3", "", "removed"), (3, "p", "q", "renamed"), (3, "x", "", "removed"), (4, "", "x", "added")} <= got
+    assert (2, "", "p", "added") in got and not any(r[1] == "only" for r in got)
+    spans = {(r.snapshot_no, r.since, r.until) for r in S.lifespans(fields).where("name = 'x'").collect()}
+    assert spans == {(1, 1, 2), (2, 1, 2), (4, 4, 5), (5, 4, 5)}
