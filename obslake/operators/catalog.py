@@ -18,6 +18,7 @@ FIELD_TERMS = {
     "timestamp": 12, "date": 6, "time": 6, "station": 10, "sensor": 10, "counter": 10, "latitude": 8, "longitude": 8, "temperature": 16, "humidity": 16, "pm25": 20,
     "pm2_5": 20, "pm10": 18, "aqi": 20, "rain": 14, "precip": 14, "wind": 12, "count": 12, "speed": 12, "volume": 10, "concentration": 12,
 }
+# Words of official publishers and of copies, and kinds of views.
 OFFICIAL_MARKERS = ["city of new york", "nyc open data", "department of", "official", "agency", "government"]
 DERIVED_MARKERS = ["community created", "community view", "derived view", "filtered view", "copy of ", "test dataset", "sample dataset"]
 SOURCE_VIEWS, PRESENTATION_VIEWS = ["dataset", "table", "tabular"], ["chart", "filter", "map", "story", "visualization"]

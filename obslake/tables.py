@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 from functools import reduce
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: A lookup is broadcast only if it has at most this many rows.
 BROADCAST_ROWS = 100_000
-#: Folders of sessions that name none.
+#: The shared folder of each session.
 _OWN: dict[SparkSession, str] = {}
 #: Copies of a larger lookup's rows, so that one hot key is spread over as many tasks.
 SALTS = 24
@@ -61,14 +62,35 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or one of this machine where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
+    """The folder of this application that all executors share: below spark.checkpoint.dir, or, where that is unset and the
+    executors are threads of this machine, a temporary one. What is written there is deleted by release().
+
+    On a cluster without spark.checkpoint.dir there is no such folder, and a ValueError.
+    """
     if spark not in _OWN:
-        _OWN[spark] = tempfile.mkdtemp(prefix="obslake-")
-        atexit.register(shutil.rmtree, _OWN[spark], True)
-    return "file://" + _OWN[spark]
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        _OWN[spark] = f"{named.rstrip('/')}/obslake-{spark.sparkContext.applicationId}" if named else "file://" + tempfile.mkdtemp(prefix="obslake-")
+        atexit.register(release, spark)
+    return _OWN[spark]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what steps of this session wrote to the shared folder; frames that read it can't be used any more. Called at
+    the end of the program, where it does what is still possible."""
+    folder = _OWN.pop(spark, None)
+    if not folder:
+        return
+    if folder.startswith("file://"):
+        shutil.rmtree(folder.removeprefix("file://"), True)
+        return
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception as e:  # noqa: BLE001 - the session may be gone already
+        print(f"obslake: {folder} is left: {e}", file=sys.stderr)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
