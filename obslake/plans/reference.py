@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,7 +283,8 @@ def parse_reference(spark: SparkSession, d: str) -> DataFrame:
 
 def candidate_roots(spark: SparkSession, d: str) -> DataFrame:
     """F21."""
-    p = table(spark, d, "portal").select("portal_id", F.concat(F.lit("https://www."), "portal_id", F.lit(".example/city/datasets/list")).alias("url"))
+    path = F.when(F.col("provider") == "ckan", "/city/dataset/rain").when(F.col("provider") == "socrata", "/Browse/").when(F.col("provider") == "arcgis", "").otherwise("/city/datasets/list")
+    p = table(spark, d, "portal").select("portal_id", F.concat(F.lit("https://www."), "portal_id", F.lit(".example"), path).alias("url"))
     return p.select("portal_id", F.array_join(portal.candidate_roots(F.col("url")), " ").alias("roots"), F.array_join(portal.sibling_hosts(F.col("url")), " ").alias("siblings"))
 
 
@@ -372,27 +375,31 @@ def stale_sources(spark: SparkSession, d: str) -> DataFrame:
     return observations.new_keys(reg, rows, ["source_table", "site"])
 
 
-def streaming_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """The hourly buckets of a stream over what is there; equal to the batch result."""
-    import uuid
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
 
+
+def streaming_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly buckets of a stream, each emitted once when the watermark of an hour has passed it."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, d, "events").schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    stats = refresh.bucketed(src, ["event_type"], "ts", "value", 60)
-    q = stats.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    stats = refresh.bucketed(_event_stream(spark, d), ["event_type"], "ts", "value", 60, "1 hour")
+    refresh.run_available(stats, refresh.append_batches(f"{base}/out"), f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("event_type", "bucket", "n", F.round("mean_value", 6).alias("mean_value"), "min_value", "max_value")
 
 
 def stream_discovery(spark: SparkSession, d: str) -> DataFrame:
     """The append-only table of known streams, fed by a stream."""
-    import uuid
-
     base = f"{shared_folder(spark)}/known-{uuid.uuid4().hex}"
-    src = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    refresh.run_available(src, refresh.discover(f"{base}/known", ["user_id", "event_type"]), f"{base}/state")
-    return spark.read.parquet(f"{base}/known")
+    refresh.run_available(_event_stream(spark, d), refresh.discover(f"{base}/known", ["user_id", "event_type"]), f"{base}/state")
+    return spark.read.parquet(f"{base}/known").select("user_id", "event_type")
+
+
+def latest_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The kept latest value of every stream, refreshed by a stream batch by batch."""
+    base = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+    points = _event_stream(spark, d).select("user_id", "event_type", "ts", F.struct("event_id").alias("seq"), "value")
+    refresh.run_available(points, refresh.refresh_latest(f"{base}/kept", ["user_id", "event_type"]), f"{base}/state")
+    return refresh.kept_latest(spark, f"{base}/kept").select("user_id", "event_type", "ts", "value")
 
 
 def statistics_once(spark: SparkSession, d: str) -> DataFrame:
@@ -452,7 +459,7 @@ ALL = [
     field_behaviour, long_metric_preview, observation_shape, grid_scores, dataset_structure, explorer_summary, inspect_dataset, role_hypotheses, unit_selections, disambiguated_labels, unit_key_tokens, stream_ids, new_streams,
     reconcile_selection, score_catalog, catalog_quality, rank_catalog, search_catalog, ontology_mapping, profile_match, url_normalize, parse_reference, candidate_roots, html_links, json_envelope,
     location_rank, coordinate_evidence, fingerprint_events, reanalysis_decisions, resource_choice, canonical_text, corpus_summary, corpus_fields, field_names, unicode_names, dirty_numbers, stale_sources,
-    streaming_buckets, stream_discovery, statistics_once, attribute_projection, unsent_reports, pruned_sources, prepared_catalogs, source_route, role_classification, record_selections,
+    streaming_buckets, stream_discovery, latest_sink, statistics_once, attribute_projection, unsent_reports, pruned_sources, prepared_catalogs, source_route, role_classification, record_selections,
 ]
 
 

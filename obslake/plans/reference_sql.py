@@ -38,14 +38,28 @@ def _pairs(fields: dict[str, str]) -> str:
     return " union all ".join(f"select '{a}' as det, '{b}' as dep, ({x})::varchar as v, ({y})::varchar as w from {PEOPLE}" for a, x in fields.items() for b, y in fields.items() if a != b)
 
 
-def _behaviour(field: str, numeric: bool, temporal: bool, entity: bool) -> str:
-    stab = f"(select avg(case when k = 1 then 1.0 else 0 end) from (select count(distinct {field}) as k from events group by user_id))" if not entity else "null"
-    chg = f"(select max(k) > 1 from (select count(distinct {field}) as k from events group by user_id))" if not entity else "false"
-    role = {"event_id": "administrative", "ts": "timestamp", "user_id": "metric", "event_type": "changing_nominal", "value": "metric"}[field]
-    return (
-        f"select '{field}' as field, count({field}) as non_null, count(distinct {field}) as distinct_values, {1.0 if numeric else 0.0}::double as numeric_ratio, {1.0 if temporal else 0.0}::double as temporal_ratio, "
-        f"round(count(distinct {field}) / count({field}), 6)::double as uniqueness, round({stab}, 6)::double as stability, {chg} as changes, '{role}' as role from events"
-    )
+NUMERIC = r"\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|nan|NaN|inf|Infinity)\s*"
+BEHAVED = ["event_id", "ts", "user_id", "event_type", "value"]
+
+
+def _behaviour(rounded: bool = True) -> str:
+    """Measures and roles of the fields of events, unrounded for further use."""
+    cells = " union all ".join(f"select '{f}' as field, {i} as position, user_id as e, {f}::varchar as v from events" for i, f in enumerate(BEHAVED))
+    r = lambda c: f"round({c}, 6)" if rounded else c
+    return f"""
+    with cells as (select * from ({cells}) where v is not null and v <> ''),
+    m as (select field, position, count(*) as non_null, count(distinct v) as distinct_values, avg(case when regexp_full_match(v, '{NUMERIC}') then 1.0 else 0 end) as num,
+        avg(case when length(trim(v)) >= 8 and regexp_full_match(trim(v), '\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}.*') then 1.0 else 0 end) as tmp, count(distinct v) / count(*) as uni from cells group by 1, 2),
+    w as (select field, avg(case when k = 1 then 1.0 else 0 end) as stab, max(k) > 1 as chg from (select field, e, count(distinct v) as k from cells where field <> 'user_id' group by 1, 2) group by 1),
+    j as (select m.*, stab, coalesce(chg, false) as chg, coalesce(stab >= 0.95, false) as steady from m left join w using (field))
+    select field, position, non_null, distinct_values, {r('num')}::double as numeric_ratio, {r('tmp')}::double as temporal_ratio, {r('uni')}::double as uniqueness, {r('stab')}::double as stability, chg as changes,
+        case when tmp >= 0.7 then 'timestamp' when field in ('row_id', 'objectid', 'record_id', 'created_at', 'updated_at') or uni >= 0.98 then 'administrative'
+            when num >= 0.8 and not steady then 'metric' when steady then 'stable_context' when chg then 'changing_nominal' else 'context' end as role from j"""
+
+
+PREVIEW = "select count(*) as names, count(*) filter (c >= 2) as repeated, count(*) filter (c >= 2) > 0 and count(*) <= 50 and count(*) filter (c >= 2) / count(*) >= 0.5 as accepted from (select trim(event_type) as m, count(*) as c from events where event_type <> '' and value is not null group by 1)"
+#: Events with whether they are in the second half of the time.
+HALVES = "(select *, coalesce(ts >= (select make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) from events), false) as late from events)"
 
 
 def _changes() -> str:
@@ -120,9 +134,10 @@ def oracle_sql() -> dict[str, str]:
         "freshness_staleness": f"select latest, round(epoch_us(timestamp '2024-02-01') / 1e6 - epoch_us(latest) / 1e6, 3) as lag_seconds, epoch_us(timestamp '2024-02-01') / 1e6 - epoch_us(latest) / 1e6 >= greatest(1800, 5 * c) as stale from (select max(ts) as latest from events), ({GAP})",
         "bucket_stats_5min": _buckets("5 minutes"),
         "bucket_stats_hourly": _buckets("1 hour"),
-        "streaming_buckets": _buckets("1 hour"),
+        "streaming_buckets": _buckets("1 hour").replace("group by", "where time_bucket(interval '1 hour', ts) + interval '1 hour' <= (select max(ts) - interval '1 hour' from events) group by"),
+        "latest_sink": "select user_id, event_type, ts, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
         "stream_discovery": "select distinct user_id, event_type from events",
-        "chao1_population": """with g as (select o_custkey, count(*) as c from orders where o_orderpriority = '1-URGENT' and o_totalprice > 400000 group by 1),
+        "chao1_population": """with g as (select o_custkey, count(*) as c from orders group by 1),
             s as (select count(*) as o, count(*) filter (c = 1) as f1, count(*) filter (c = 2) as f2, coalesce(sum(c), 0)::bigint as n from g),
             u as (select *, case when o = 0 then 0.0 when f2 > 0 then f1 * f1 / (2.0 * f2) else f1 * greatest(f1 - 1, 0) / 2.0 end as unseen from s)
             select o as observed, greatest(o, ceil(o + unseen)::bigint) as estimated, f1 as singletons, f2 as doubletons, n as sample_rows, round_even(unseen, 3) as unseen, round_even(greatest(0.0, least(1.0, 1.0 - f1 / greatest(n, 1))), 3) as confidence from u""",
@@ -142,9 +157,10 @@ def oracle_sql() -> dict[str, str]:
             m as (select det, dep, max(c) as most from (select det, dep, w, count(*) as c from g where k = 1 group by 1, 2, 3) group by 1, 2),
             r as (select a.det as child, a.dep as parent, round_even(a.s, 3) as confidence, 1.0::double as coverage, b.k as parent_values, a.k as child_values from p a join p b on b.det = a.dep and b.dep = a.det join m on m.det = a.det and m.dep = a.dep where a.k >= 2 and a.n >= 3 and b.k < a.k and most > 1 and a.s >= 0.8)
             select * from r where not exists (select 1 from r x join r y on x.parent = y.child where x.child = r.child and y.parent = r.parent and least(x.confidence, y.confidence) >= r.confidence - 0.05)""",
-        "field_behaviour": " union all ".join([_behaviour("event_id", True, False, False), _behaviour("ts", False, True, False), _behaviour("user_id", True, False, True), _behaviour("event_type", False, False, False), _behaviour("value", True, False, False)]),
-        "long_metric_preview": "select count(*) as names, count(*) filter (c >= 2) as repeated, count(*) filter (c >= 2) > 0 and count(*) <= 50 and count(*) filter (c >= 2) / count(*) >= 0.5 as accepted from (select trim(event_type) as m, count(*) as c from events group by 1)",
-        "observation_shape": "select 'long' as shape, 0.9::double as confidence, 'user_id|value' as metrics",
+        "field_behaviour": f"select * exclude (position) from ({_behaviour()})",
+        "long_metric_preview": PREVIEW,
+        "observation_shape": f"""with b as ({_behaviour(False)}), k as (select string_agg(field, '|' order by position) as metrics, count(*) as n from b where role = 'metric'), p as ({PREVIEW})
+            select case when accepted then 'long' when n >= 2 then 'wide' else 'event_or_single_metric' end as shape, case when accepted then 0.9 when n >= 2 then 0.85 else 0.65 end::double as confidence, coalesce(metrics, '') as metrics from k, p""",
         "grid_scores": " union all ".join(
             f"""select 'month' as time_field, '{f}' as place_field, sum(c)::bigint as pairs, round(0.45 * (select avg(case when k >= 2 then 1.0 else 0 end) from (select t, count(distinct p) as k from g group by 1))
             + 0.35 * (select avg(case when k >= 2 then 1.0 else 0 end) from (select p, count(distinct t) as k from g group by 1)) + 0.2 * count(*) / sum(c), 6) as score from g"""
@@ -155,8 +171,8 @@ def oracle_sql() -> dict[str, str]:
         "disambiguated_labels": "select p_partkey, case when count(*) over (partition by p_name) > 1 then p_name || ' — ' || p_brand || ' / ' || p_type else p_name end as unique_label from part",
         "unit_key_tokens": "select c_custkey, 'v1:' || " + b64.format("'[\"' || c_custkey || '\",\"' || c_mktsegment || '\"]'") + " as token, c_custkey || '|' || c_mktsegment as parts from customer",
         "stream_ids": f"select distinct {STREAM} as stream_id, user_id, event_type as metric from events",
-        "new_streams": "select distinct user_id, event_type from events where event_id % 2 = 1 except select user_id, event_type from events where event_id < 500",
-        "reconcile_selection": "select case when c_custkey % 2 = 0 then 'v1:' || " + b64.format("'[\"' || c_custkey || '\"]'") + " else c_custkey::varchar end as saved, c_custkey from customer where c_custkey % 7 = 0",
+        "new_streams": f"select distinct user_id, event_type from {HALVES} where late except select user_id, event_type from {HALVES} where not late",
+        "reconcile_selection": "select case when c_custkey % 2 = 0 then 'v1:' || " + b64.format("'[\"' || c_custkey || '\"]'") + " else c_custkey::varchar end as saved, c_custkey from customer",
         "score_catalog": f"select doc_id, {SCORE} as score from (select doc_id, {SEARCHABLE} as t from documents)",
         "catalog_quality": f"select doc_id, case when {_any('t', OFFICIAL_MARKERS)} then 10 else 0 end + case when {_any('t', DERIVED_MARKERS)} then -30 else 0 end + case when source = 'catalog_description' then 12 else -18 end as adjustment from (select doc_id, source, lower(concat_ws(' ', source, text)) as t from documents)",
         "rank_catalog": f"select doc_id, score from (select doc_id, {SCORE} as score from (select doc_id, {SEARCHABLE} as t from documents)) where score >= 20 order by score desc, doc_id limit 10",
@@ -168,8 +184,19 @@ def oracle_sql() -> dict[str, str]:
             x as (select dataset_id, h.profile_id, o, (0.65 * c / greatest(cores, 1) + 0.2 * s / greatest(supports, 1)) * case when c > 0 then 1.0 else 0.45 end as confidence from h join z using (profile_id))
             select dataset_id, profile_id, round(confidence, 6)::double as confidence from x where confidence >= 0.15 qualify row_number() over (partition by dataset_id order by confidence desc, o) = 1""",
         "url_normalize": f"select distinct url, lower({url.format('url')}) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') as normal, lower({url.format('url')}) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) as origin from ({links})",
-        "parse_reference": f"""select distinct link as url, 'socrata' as ref_provider, regexp_extract(link, '^(https?://[^/?#]+)', 1) as ref_portal, nullif(regexp_extract(link, '/d/([a-z0-9]{{4}}-[a-z0-9]{{4}})$', 1), '') as ref_dataset, null::varchar as ref_resource, false as ref_is_portal from ({clean})""",
-        "candidate_roots": "select portal_id, 'https://www.' || portal_id || '.example https://www.' || portal_id || '.example/city https://www.' || portal_id || '.example/city/datasets/list' as roots, " + " || ' ' || ".join(f"'https://{s}.' || portal_id || '.example'" for s in ("ckan", "data", "opendata", "catalog", "geodata")) + " as siblings from portal",
+        "parse_reference": f"""with u as (select distinct link as url, regexp_extract(link, '^(https?://[^/?#]+)', 1) as o, list_filter(string_split(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') as p from ({clean})),
+            v as (select *, list_position(p, 'dataset') as d, list_position(p, 'resource') as r, p[1:3] = ['api', '3', 'action'] as api, p[1:3] = ['api', 'catalog', 'v1'] as cat, list_filter(list_transform(p, lambda x: lower(string_split(x, '.')[1])), lambda x: regexp_full_match(x, '[a-z0-9]{{4}}-[a-z0-9]{{4}}')) as ids,
+                api and p[4] in ('datastore_search', 'datastore_search_sql') as store from u),
+            w as (select *, d > 0 as has, coalesce(list_filter([lower(p[nullif(list_position(p, m), 0) + 1]) for m in ['resource', 'views', 'd']], lambda x: regexp_full_match(x, '[a-z0-9]{{4}}-[a-z0-9]{{4}}'))[1], ids[-1]) as soc from v)
+            select url, case when has or api then 'ckan' when soc is not null or cat then 'socrata' end as ref_provider,
+                case when has or api or soc is not null or cat or len(p) = 0 then o else regexp_replace(url, '/+$', '') end as ref_portal,
+                case when has then p[d + 1] when api then null else soc end as ref_dataset, case when has and r > 0 then p[r + 1] end as ref_resource,
+                (case when has then p[d + 1] when api then null else soc end) is null and not coalesce(store, false) as ref_is_portal from w""",
+        "candidate_roots": """with a as (select portal_id, 'https://www.' || portal_id || '.example' as o, case provider when 'ckan' then ['city', 'dataset', 'rain'] when 'socrata' then ['Browse'] when 'arcgis' then [] else ['city', 'datasets', 'list'] end as p from portal),
+            b as (select *, (select min(i) from unnest(range(1, len(p) + 1)) t(i) where lower(p[i]) in ('dataset', 'datasets', 'data', 'catalog', 'catalogue', 'explore', 'browse', 'search', 'group', 'organization', 'api')) as i from a),
+            c as (select *, case when i > 1 then o || '/' || array_to_string(p[1:i - 1], '/') else o end as prefix, case when len(p) > 0 then o || '/' || array_to_string(p, '/') else o end as whole from b)
+            select portal_id, o || case when prefix <> o then ' ' || prefix else '' end || case when whole not in (o, prefix) then ' ' || whole else '' end as roots,
+                (select string_agg('https://' || s || '.' || portal_id || '.example', ' ' order by k) from (values (1, 'ckan'), (2, 'data'), (3, 'opendata'), (4, 'catalog'), (5, 'geodata')) z(k, s)) as siblings from c""",
         "html_links": f"select distinct doc_id, link from ({clean})",
         "json_envelope": "select event_id, (props->>'k')::bigint as k from events",
         "location_rank": f"select location_name, round({haversine}, 6) as distance_km from (select location_name, min(lat) as lat, min(lon) as lon from ann_arbor_air_quality where location_name is not null group by 1)",
@@ -189,13 +216,15 @@ def oracle_sql() -> dict[str, str]:
         "dirty_numbers": """select obs_id, case when regexp_full_match(value, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*') then try_cast(trim(value) as double) end as finite,
             case when lower(trim(value)) not in ('', 'na', 'n/a', 'nan', 'none', 'null', 'nd', '-', '--') and regexp_full_match(regexp_replace(replace(trim(value), ',', ''), '^<\\s*', ''), '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*') then try_cast(trim(regexp_replace(replace(trim(value), ',', ''), '^<\\s*', '')) as double) end as dirty,
             coalesce(length(trim(value)) >= 8 and regexp_full_match(trim(value), '\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}.*'), false) as temporal from semantic_observation""",
-        "stale_sources": "select source_name as site from source_registry where source_table = 'ann_arbor_rainfall' except select site from ann_arbor_rainfall where rainfall > 5",
-        "statistics_once": "select event_type, time_bucket(interval '1 hour', ts) as bucket, count(*) as n from events group by 1, 2 having count(*) filter (event_id % 2 = 0) = 0",
+        "stale_sources": """select source_table, source_name as site from source_registry except (select 'ann_arbor_rainfall', site from ann_arbor_rainfall
+            union all select 'ann_arbor_air_quality', location_name from ann_arbor_air_quality union all select 'chicago_beach_weather', station_name from chicago_beach_weather)""",
+        "statistics_once": """with m as (select time_bucket(interval '1 hour', make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2)) as m from events)
+            select event_type, time_bucket(interval '1 hour', ts) as bucket, count(*) as n from events, m group by 1, 2 having count(*) filter (ts < m) = 0""",
         "attribute_projection": """select p_partkey, '{"p_name":"' || p_name || '","p_brand":"' || p_brand || '","p_type":"' || p_type || '","p_size":"' || p_size || '"}' as attributes from part""",
         "unsent_reports": "select a.dataset_id, a.snapshot_no, sha256(a.schema_json) as digest from analysis_fingerprint a left join analysis_fingerprint b on b.dataset_id = a.dataset_id and b.snapshot_no = a.snapshot_no - 1 where b.schema_json is null or b.schema_json <> a.schema_json",
         "pruned_sources": "select source_table, source_name from source_registry except select source_table, source_name from source_deployment",
         "prepared_catalogs": "select portal_id, 'https://' || lower(portal_id) as portal_key, case when provider = 'ckan' then 'failed' else 'ready' end as status from portal",
-        "source_route": "select a as api_latest, f as file_latest, case when a is null or f is null or epoch_us(f) - epoch_us(a) >= 1800e6 then 'file' else 'api' end as source from (select max(ts) filter (event_id < 5000) as a, max(ts) as f from events)",
+        "source_route": f"select a as api_latest, f as file_latest, case when a is null or f is null or epoch_us(f) - epoch_us(a) >= 1800e6 then 'file' else 'api' end as source from (select max(ts) filter (not late) as a, max(ts) as f from {HALVES})",
         "record_selections": "select 'v1:' || " + b64.format("'[\"' || wssn || '\",\"' || sysloccode || '\"]'") + " as token, systemname || ' / ' || locname as label from (select wssn, sysloccode, arg_min(systemname, row_id) as systemname, arg_min(locname, row_id) as locname from michigan_pfas where wssn <> '' and sysloccode <> '' group by 1, 2)",
         "p2_found": _raw_records(),
         "p5_found": _changes(),
