@@ -21,11 +21,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
-PAGE_ROWS = 1000
-ANSWER_BYTES = 32 << 20
+PAGE_ROWS = 500
+ANSWER_BYTES = 2 << 20
+DISTINCT_ROWS = 1000
+# Fixed value: the catalog of all portals of one kind, which is asked where a portal's own doesn't answer.
+REGIONAL_CATALOG = "https://api.us.socrata.com"
 CATALOG_FIELDS = ["dataset_id", "title", "description", "raw"]
 
 
@@ -117,6 +122,14 @@ class Provider:
     def rows(self, a: Any) -> list[dict]: ...
     def catalog_url(self, offset: int, limit: int, query: str | None) -> str: ...
     def catalog(self, a: Any) -> tuple[int, list[dict]]: ...
+    def distinct_url(self, fields: list[str], limit: int) -> str: ...
+
+    def other_catalog_url(self, offset: int, limit: int, query: str | None) -> str | None:
+        """Where the catalog is asked for if the portal itself doesn't answer."""
+        return None
+
+    def other_catalog(self, a: Any) -> tuple[int, list[dict]]:
+        return self.catalog(a)
 
 
 class Ckan(Provider):
@@ -152,6 +165,21 @@ class Ckan(Provider):
         return int(a["result"]["count"]), [{"dataset_id": p.get("name") or p.get("id"), "title": p.get("title"), "description": p.get("notes"), "raw": p} for p in a["result"]["results"]]
 
 
+    def distinct_url(self, fields: list[str], limit: int) -> str:
+        names = ", ".join(f'"{_name(f)}"' for f in fields)
+        return self._action("datastore_search_sql", sql=f'SELECT DISTINCT {names} FROM "{self.dataset}" ORDER BY "{fields[0]}" LIMIT {limit}')
+
+    def package_url(self, resource: str) -> str:
+        return self._action("resource_show", id=resource.strip())
+
+    def package(self, a: Any) -> str:
+        """The dataset that a resource belongs to."""
+        found = (a.get("result") or {}).get("package_id")
+        if not isinstance(found, str) or not found.strip():
+            raise ValueError("the resource names no dataset")
+        return found.strip()
+
+
 class Socrata(Provider):
     def schema_url(self) -> str:
         return f"{self.portal}/api/views/{self.dataset}.json"
@@ -181,6 +209,14 @@ class Socrata(Provider):
         return int(a["resultSetSize"]), [{"dataset_id": r["resource"]["id"], "title": r["resource"].get("name"), "description": r["resource"].get("description"), "raw": r} for r in a["results"]]
 
 
+    def distinct_url(self, fields: list[str], limit: int) -> str:
+        names = ",".join(map(_name, fields))
+        return _query(f"{self.portal}/resource/{self.dataset}.json", S_select=f"distinct {names}", S_order=fields[0], S_limit=limit)
+
+    def other_catalog_url(self, offset: int, limit: int, query: str | None) -> str | None:
+        return _query(f"{REGIONAL_CATALOG}/api/catalog/v1", domains=urllib.parse.urlsplit(self.portal).hostname, only="datasets", q=query, limit=limit, offset=offset)
+
+
 class ArcGis(Provider):
     capabilities = Capabilities(geometry=True)
 
@@ -214,6 +250,18 @@ class ArcGis(Provider):
         return int(a["numberMatched"]), [{"dataset_id": i.get("id"), "title": i.get("title"), "description": i.get("description"), "raw": i} for i in items]
 
 
+    def distinct_url(self, fields: list[str], limit: int) -> str:
+        return _query(f"{self.dataset}/query", where="1=1", outFields=",".join(map(_name, fields)), returnDistinctValues="true", returnGeometry="false", orderByFields=fields[0], resultRecordCount=limit, f="json")
+
+    def other_catalog_url(self, offset: int, limit: int, query: str | None) -> str | None:
+        return f"{self.portal}/api/feed/dcat-us/1.1.json"
+
+    def other_catalog(self, a: Any) -> tuple[int, list[dict]]:
+        """A DCAT feed, which is one page of all datasets."""
+        items = [d for d in a.get("dataset", []) if isinstance(d, dict)]
+        return len(items), [{"dataset_id": d.get("identifier"), "title": d.get("title"), "description": d.get("description"), "raw": d} for d in items]
+
+
 class Opendatasoft(Provider):
     def _base(self) -> str:
         return f"{self.portal}/api/explore/v2.1/catalog/datasets"
@@ -250,6 +298,22 @@ class Opendatasoft(Provider):
         return int(a["total_count"]), out
 
 
+    def distinct_url(self, fields: list[str], limit: int) -> str:
+        return _query(f"{self._base()}/{self.dataset}/records", group_by=",".join(map(_name, fields)), order_by=fields[0], limit=min(limit, 100))
+
+
+def clamped(limit: int, most: int) -> int:
+    """A limit between one and ``most``."""
+    return min(max(limit, 1), most)
+
+
+def distinct_catalog(entries: DataFrame, most: int = 1000) -> DataFrame:
+    """Catalog entries, one per dataset_id, at most ``most`` in order of it; entries without an id are left out."""
+    rest = [c for c in entries.columns if c != "dataset_id"]
+    once = entries.where("dataset_id is not null").groupBy("dataset_id").agg(F.min(F.struct(*rest)).alias("__e"))
+    return once.orderBy("dataset_id").limit(most).select("dataset_id", "__e.*")
+
+
 PROVIDERS: dict[str, type[Provider]] = {"ckan": Ckan, "socrata": Socrata, "arcgis": ArcGis, "opendatasoft": Opendatasoft}
 
 
@@ -270,6 +334,18 @@ class PortalReader(DataSourceReader):
     def _get(self, url: str) -> Any:
         return get_json(url, self.options.get("recorded"))
 
+    def _catalog(self, p: Provider, offset: int, size: int) -> tuple[int, list[dict]]:
+        """A page of the portal's catalog, or of the one that stands in for it."""
+        query = self.options.get("query")
+        try:
+            return p.catalog(self._get(p.catalog_url(offset, size, query)))
+        except (OSError, ValueError, KeyError, TypeError):
+            other = p.other_catalog_url(offset, size, query)
+            if other is None:
+                raise
+            total, items = p.other_catalog(self._get(other))
+            return total, items[offset : offset + size] if len(items) > size else items
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
             if isinstance(f, EqualTo) and len(f.attribute) == 1 and isinstance(f.value, str) and self.options.get("dataset") and f.attribute[0] not in self.where:
@@ -278,10 +354,12 @@ class PortalReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         p, size = self._provider(), int(self.options.get("pagerows", PAGE_ROWS))
+        if self.options.get("distinct"):
+            return [Page(0, clamped(int(self.options.get("maxrows", DISTINCT_ROWS)), DISTINCT_ROWS))]
         if self.options.get("dataset"):
             total = p.count(self._get(p.count_url(self.where)))
         else:
-            total = p.catalog(self._get(p.catalog_url(0, size, self.options.get("query"))))[0]
+            total = self._catalog(p, 0, size)[0]
         most = self.options.get("maxrows")
         total = min(total, int(most)) if most else total
         return [Page(i, min(size, total - i)) for i in range(0, total, size)] or [Page(0, 0)]
@@ -290,17 +368,20 @@ class PortalReader(DataSourceReader):
         if partition.limit <= 0:
             return
         p = self._provider()
-        if self.options.get("dataset"):
+        if self.options.get("distinct"):
+            rows = p.rows(self._get(p.distinct_url(self.options["distinct"].split(","), partition.limit)))
+        elif self.options.get("dataset"):
             rows = p.rows(self._get(p.rows_url(partition.offset, partition.limit, self.where, self.options.get("order"))))
         else:
-            rows = p.catalog(self._get(p.catalog_url(partition.offset, int(self.options.get("pagerows", PAGE_ROWS)), self.options.get("query"))))[1][: partition.limit]
+            rows = self._catalog(p, partition.offset, int(self.options.get("pagerows", PAGE_ROWS)))[1][: partition.limit]
         for r in rows:
             yield tuple(None if r.get(c) is None else r[c] if isinstance(r[c], str) else json.dumps(r[c], ensure_ascii=False, sort_keys=True) for c in self.names)
 
 
 class PortalDataSource(DataSource):
     """Options: provider (ckan, socrata, arcgis, opendatasoft), portal, dataset (without it: the catalog), query, order (a
-    field, newest first), pageRows, maxRows, recorded."""
+    field, newest first), distinct (fields joined by commas: their distinct values, in order of the first, at most 1,000),
+    pageRows, maxRows, recorded."""
 
     @classmethod
     def name(cls) -> str:
@@ -312,6 +393,12 @@ class PortalDataSource(DataSource):
         p = PROVIDERS[self.options["provider"]](self.options["portal"], self.options["dataset"])
         p.capabilities.require("schema")
         listed = p.schema(get_json(p.schema_url(), self.options.get("recorded")))
+        if self.options.get("distinct"):
+            wanted = self.options["distinct"].split(",")
+            by_name = {x[0]: x for x in listed}
+            if not set(wanted) <= set(by_name):
+                raise ValueError(f"no such fields: {sorted(set(wanted) - set(by_name))}")
+            listed = [by_name[n] for n in wanted]
         return StructType([StructField(n, StringType(), True, {"label": lab, "source_type": t, "description": de}) for n, lab, t, de in listed])
 
     def reader(self, schema: StructType) -> DataSourceReader:

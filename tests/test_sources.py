@@ -108,3 +108,91 @@ def test_corpus_ids(spark):
     import hashlib
 
     assert a.corpus_id == hashlib.sha256(b"p\nckan\nd").hexdigest()[:20] and len(a.bounded_text) == 160 and b.bounded_text is None
+
+
+@pytest.mark.parametrize("split", ["40", "97", "1000000"])
+def test_csv_in_splits(spark, tmp_path, split):
+    import csv
+    import random
+
+    rng = random.Random(3)
+    cell = lambda: rng.choice(["", "plain", 'say "hi"', "two\nlines", "a,b", "x" * 30 + "\n" + "y" * 90, '"', "é€"])
+    want = []
+    for k in range(3):
+        rows = [[f"{k}-{i}", cell(), cell()] for i in range(60)]
+        want += rows
+        with open(tmp_path / f"f{k}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator="\n" if k else "\r\n")
+            w.writerow(["id", "a", "b"])
+            w.writerows(rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        df = files.read_csv(spark, str(tmp_path))
+        assert df.columns == ["id", "a", "b"]
+        assert sorted(map(list, df.collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_csv_odd_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2,3\n\n4\n,\n", encoding="utf-8")
+    assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "a.csv")).collect()) == [("", ""), ("1", "2"), ("4", "")]
+    (tmp_path / "b.csv").write_text("", encoding="utf-8")
+    assert files.read_csv(spark, str(tmp_path / "b.csv")).count() == 0
+
+
+@pytest.mark.parametrize("provider", ["ckan", "socrata", "arcgis", "opendatasoft"])
+def test_distinct_values(spark, tmp_path, provider):
+    portal, dataset = "https://data.example", "https://data.example/layer/0" if provider == "arcgis" else "abcd-1234"
+    p = portals.PROVIDERS[provider](portal, dataset)
+    fields = {
+        "ckan": {"result": {"fields": [{"id": "site"}, {"id": "area"}, {"id": "v"}]}},
+        "socrata": {"columns": [{"fieldName": c} for c in ("site", "area", "v")]},
+        "arcgis": {"fields": [{"name": c} for c in ("site", "area", "v")]},
+        "opendatasoft": {"fields": [{"name": c} for c in ("site", "area", "v")]},
+    }[provider]
+    rows = [{"site": "a", "area": "x"}, {"site": "b", "area": "x"}]
+    answer = {"ckan": {"result": {"records": rows}}, "socrata": rows, "arcgis": {"features": [{"attributes": r} for r in rows]}, "opendatasoft": {"results": rows}}[provider]
+    record(tmp_path, {p.schema_url(): fields, p.distinct_url(["site", "area"], 1000): answer})
+    df = load(spark, tmp_path, provider=provider, portal=portal, dataset=dataset, distinct="site,area", maxRows="5000")
+    assert df.columns == ["site", "area"] and sorted(map(tuple, df.collect())) == [("a", "x"), ("b", "x")]
+    with pytest.raises(Exception, match="no such fields"):
+        load(spark, tmp_path, provider=provider, portal=portal, dataset=dataset, distinct="nope").columns
+
+
+def test_catalogs_that_stand_in(spark, tmp_path):
+    portal = "https://data.example"
+    s, a = portals.Socrata(portal, None), portals.ArcGis(portal, None)
+    record(tmp_path, {s.other_catalog_url(0, 10, None): {"resultSetSize": 1, "results": [{"resource": {"id": "d", "name": "T"}}]}})
+    assert [r.dataset_id for r in load(spark, tmp_path, provider="socrata", portal=portal, pageRows="10").collect()] == ["d"]
+    feed = {"dataset": [{"identifier": i, "title": i} for i in ("x", "y", "x")] + ["odd"]}
+    record(tmp_path, {a.other_catalog_url(0, 2, None): feed})
+    df = load(spark, tmp_path, provider="arcgis", portal=portal, pageRows="2")
+    assert sorted(r.dataset_id for r in df.collect()) == ["x", "x", "y"]
+    assert [r.dataset_id for r in portals.distinct_catalog(df).collect()] == ["x", "y"]
+    assert [r.dataset_id for r in portals.distinct_catalog(df, 1).collect()] == ["x"]
+    with pytest.raises(Exception, match="(?i)no such file|FileNotFound"):
+        load(spark, tmp_path, provider="ckan", portal="https://other.example").collect()
+
+
+def test_dataset_of_a_resource():
+    c = portals.Ckan("https://data.example", None)
+    assert "resource_show" in c.package_url(" r1 ") and "r1" in c.package_url(" r1 ")
+    assert c.package({"result": {"package_id": " p "}}) == "p"
+    for bad in ({}, {"result": None}, {"result": {"package_id": " "}}):
+        with pytest.raises(ValueError):
+            c.package(bad)
+    assert [portals.clamped(x, 5) for x in (-1, 0, 3, 9)] == [1, 1, 3, 5]
+
+
+def test_shared_snapshot(spark, tmp_path):
+    calls = []
+
+    def read():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    path = str(tmp_path / "snap")
+    n = [files.shared_snapshot(spark, path, read, t, 900, force).count() for t, force in ((1000, False), (1500, False), (1900, False), (1901, False), (1902, True), (2000, False))]
+    assert n == [1, 1, 1, 2, 3, 3] and len(list((tmp_path / "snap").glob("at=*"))) == 2
