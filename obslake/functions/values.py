@@ -56,7 +56,7 @@ def to_dirty_number(c: Column | str) -> Column:
 def to_ts(c: Column | str) -> Column:
     """Instant of an ISO text (without zone: UTC, a date alone: its start) or of Unix seconds or milliseconds, else null."""
     t = F.trim(text(c))
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?)?\s*([Zz]|[+-]\d{2}:?\d{2})?$"), F.regexp_replace(t, ",", ".").try_cast("timestamp"))
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?)?\s*([Zz]|[+-]\d{2}:?\d{2})?$"), F.regexp_replace(F.regexp_replace(F.regexp_replace(t, ",", "."), r"\s*[Zz]$", "Z"), r"(\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*([+-]\d{2}):?(\d{2})$", "$1$2:$3").try_cast("timestamp"))
     n = to_number(t)
     return F.coalesce(iso, F.when(n.isNotNull(), F.timestamp_micros((F.when(n > 1e10, n * 1e3).otherwise(n * 1e6)).cast("long"))))
 
@@ -130,3 +130,20 @@ def key_parts(token: Column | str) -> Column:
 def stream_id(*parts: Column | str) -> Column:
     """First 20 hexadecimal digits of the SHA-1 of the parts' canonical texts."""
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(canonical_text(p), F.lit("")) for p in parts])), 1, 20)
+
+
+def entity_key(*parts: Column | str) -> Column:
+    """Present parts, trimmed, joined by |; null if none is present."""
+    given = F.array(*[F.trim(present_text(p)) for p in parts])
+    return F.when(F.size(F.array_compact(given)) > 0, F.array_join(F.array_compact(given), "|"))
+
+
+def normal_list(c: Column | str) -> Column:
+    """The texts of an array trimmed, without nulls, empty and repeated ones, in order; an empty array for null."""
+    trimmed = F.transform(_column(c), lambda x: F.trim(x.cast("string")))
+    return F.coalesce(F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))), F.array().cast("array<string>"))
+
+
+def to_iso_ts(c: Column | str) -> Column:
+    """As to_ts, but of ISO texts alone: numbers are no times."""
+    return F.when(to_number(c).isNull(), to_ts(c))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obslake.tables import union_all
+
 # Terms in a dataset's texts and their weights.
 ENVIRONMENT_TERMS = {
     "air quality": 35, "weather": 30, "temperature": 24, "humidity": 22, "pm2.5": 35, "pm25": 35, "pm10": 30, "aqi": 35, "ozone": 24, "rainfall": 30,
@@ -121,3 +123,26 @@ def choose_resource(resources: DataFrame, package: str) -> DataFrame:
     kind = F.when(F.contains(fmt, F.lit("csv")) & F.col("active"), 3).when(F.contains(fmt, F.lit("json")), 2).when(F.col("active"), 1).otherwise(0)
     best = resources.withColumn("__k", kind).where("__k > 0").groupBy(package).agg(F.max(F.struct("__k", F.coalesce("modified", F.lit("")).alias("m"), "resource_id")).alias("b"))
     return best.select(package, F.col("b.resource_id").alias("resource_id"), F.col("b.__k").alias("kind"))
+
+
+def reasons(text: Column, terms: dict[str, int], most: int = 3) -> Column:
+    """The first ``most`` terms that a text holds, in order of the table of terms."""
+    return F.slice(F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms])), 1, most)
+
+
+def candidate_label(score: Column, title: Column, why: Column) -> Column:
+    """``score · title — reasons``: the score in three digits, the title cut at 100 characters, the whole at 150."""
+    tail = F.when(F.size(why) > 0, F.concat(F.lit(" — "), F.array_join(F.slice(why, 1, 3), ", "))).otherwise("")
+    return F.substring(F.concat(F.format_string("%03d", score), F.lit(" · "), F.substring(title, 1, 100), tail), 1, 150)
+
+
+def merge_packs(packs: list[tuple[str, int, DataFrame]], version: int = 1) -> DataFrame:
+    """alias, metric_id, metric_order, language of an ontology and its language packs; the first pack with an alias of a
+    metric gives its language. ``packs`` are (language, version, aliases with alias, metric_id and metric_order); a pack
+    of another version is an error."""
+    for language, v, _ in packs:
+        if v != version:
+            raise ValueError(f"version {v} of the pack {language} is not supported")
+    every = [df.select("alias", "metric_id", "metric_order", F.lit(i).alias("__i"), F.lit(language).alias("language")) for i, (language, _, df) in enumerate(packs)]
+    merged = union_all(every).where("alias is not null and metric_id is not null")
+    return merged.groupBy("alias", "metric_id").agg(F.min("metric_order").alias("metric_order"), F.min_by("language", "__i").alias("language"))

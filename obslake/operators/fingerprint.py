@@ -31,7 +31,7 @@ def fingerprint(df: DataFrame, schema: list[tuple[str, str]], roles: dict[str, s
     return parts.withColumn("digest", F.sha2(F.concat_ws("\n", "schema", "roles", "metrics", "dimensions", "coordinates", "ordering"), 256))
 
 
-def decide(state: DataFrame, current: DataFrame, key: str, now_s: Column, manual: bool = False) -> DataFrame:
+def decide(state: DataFrame, current: DataFrame, key: str, now_s: Column, manual: bool | Column = False) -> DataFrame:
     """key, should_run, reason per dataset of ``current``.
 
     ``state`` has key, digest, the fingerprint's parts, last_attempt_s and failed; ``current`` key, digest and the parts.
@@ -40,7 +40,23 @@ def decide(state: DataFrame, current: DataFrame, key: str, now_s: Column, manual
     old = state.select(key, *[F.col(c).alias(f"old_{c}") for c in ("digest", *(p for p, _ in parts))], "last_attempt_s", "failed")
     both = current.join(old, key, "left")
     wait = F.when(F.col("failed"), BACKOFF_S).otherwise(COOLDOWN_S)
-    reason = F.when(F.lit(manual), "manual_request").when(F.col("old_digest").isNull(), "initial_analysis").when(F.col("old_digest") == F.col("digest"), "unchanged").when(now_s < F.col("last_attempt_s") + wait, "cooldown")
+    reason = F.when(manual if isinstance(manual, Column) else F.lit(manual), "manual_request").when(F.col("old_digest").isNull(), "initial_analysis").when(F.col("old_digest") == F.col("digest"), "unchanged").when(now_s < F.col("last_attempt_s") + wait, "cooldown")
     for p, r in parts:
         reason = reason.when(~F.col(p).eqNullSafe(F.col(f"old_{p}")), r)
     return both.withColumn("reason", reason).select(key, (~F.col("reason").isin("unchanged", "cooldown")).alias("should_run"), "reason")
+
+
+STATE = "digest string, schema string, roles string, metrics string, dimensions string, coordinates string, ordering string, last_attempt_s double, failed boolean"
+
+
+def dump_state(df: DataFrame, key: str) -> DataFrame:
+    """key, state: the state of each dataset as JSON."""
+    names = [c.split()[0] for c in STATE.split(", ")]
+    return df.select(key, F.to_json(F.struct(*names)).alias("state"))
+
+
+def load_state(df: DataFrame, key: str, state: str) -> DataFrame:
+    """The states of dump_state(); what can't be read has no digest, as a dataset that was never analysed."""
+    read = F.from_json(state, STATE, {"mode": "PERMISSIVE"})
+    out = df.select(key, read.alias("s")).select(key, "s.*")
+    return out.withColumn("last_attempt_s", F.coalesce("last_attempt_s", F.lit(0.0))).withColumn("failed", F.coalesce("failed", F.lit(False)))

@@ -8,8 +8,25 @@ from pyspark.sql import functions as F
 from obslake.functions import values as V
 
 EARTH_KM = 6371.0088
-# Names of coordinate columns, in order of preference.
-LATITUDES, LONGITUDES, GEOMETRIES = ["latitude", "lat", "y_lat"], ["longitude", "lon", "lng", "long"], ["geometry", "the_geom", "location", "geo_point_2d"]
+# Names of coordinate columns that are worth asking for, and those that tell how a dataset gives coordinates.
+LATITUDES, LONGITUDES, GEOMETRIES = ("latitude", "lat", "y_lat", "y_latitude"), ("longitude", "lon", "lng", "long", "x_lon", "x_longitude"), ("geometry", "geom", "the_geom", "location")
+MODE_LATITUDES, MODE_LONGITUDES, MODE_GEOMETRIES = ("latitude", "lat", "y_wgs84"), ("longitude", "lon", "lng", "x_wgs84"), ("geometry", "geom", "geolocation", "location")
+
+
+def coordinate_fields(fields: list[str]) -> list[str]:
+    """The fields that are named as coordinates or geometries, in order."""
+    return [f for f in fields if f.casefold() in (*LATITUDES, *LONGITUDES, *GEOMETRIES)]
+
+
+def coordinate_modes(fields: DataFrame, key: list[str], name: str) -> DataFrame:
+    """key, coordinate_mode, coordinate_fields per dataset: wgs84_fields with a latitude and a longitude, else geometry
+    with a field of that kind, else none; and its fields named as coordinates, in order of name."""
+    low = F.lower(name)
+    has = lambda names: F.coalesce(F.bool_or(low.isin(*names)), F.lit(False))
+    mode = F.when(has(MODE_LATITUDES) & has(MODE_LONGITUDES), "wgs84_fields").when(has(MODE_GEOMETRIES), "geometry").otherwise("none")
+    # distinct names of a dataset are as many as its columns
+    own = F.array_sort(F.collect_set(F.when(low.isin(*LATITUDES, *LONGITUDES, *GEOMETRIES), F.col(name))))
+    return fields.groupBy(*key).agg(mode.alias("coordinate_mode"), F.array_join(own, "|").alias("coordinate_fields"))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,21 +24,26 @@ class Roles:
     seq: list[str] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
     unit_column: str | None = None
+    record_keys: list[str] = field(default_factory=list)
+    record_labels: list[str] = field(default_factory=list)
 
 
+#: Columns of points; a name column of the same name isn't kept beside them.
+POINT = ("stream_id", "metric", "source_field", "value_text", "value", "ts", "seq", "unit", "record_id", "record_label")
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 def to_points(df: DataFrame, roles: Roles, selected: list[str] | None = None) -> DataFrame:
     """One row per row and data column: stream_id, <unit columns>, <name columns>, metric, source_field, value_text, value,
-    ts, seq, unit.
+    ts, seq, unit, and with record keys or labels record_id, their reversible token (null if a part is missing), and
+    record_label, the present labels joined.
 
     Null data are left out, and rows without unit. ``selected`` narrows the data columns before anything is read. Values
     that are no finite numbers keep their text and have a null value. Without order columns, time alone orders. Columns that
     a later step doesn't use cost nothing: numbers are not made texts, and ids not hashed, until they are asked for.
     """
     data = [c for c in roles.data if selected is None or c in selected]
-    keep = list(dict.fromkeys([*roles.unit, *roles.names, *([roles.time] if roles.time else []), *roles.seq, *([roles.unit_column] if roles.unit_column else [])]))
+    keep = list(dict.fromkeys([*roles.unit, *roles.names, *([roles.time] if roles.time else []), *roles.seq, *([roles.unit_column] if roles.unit_column else []), *roles.record_keys, *roles.record_labels]))
     numeric = all(t.startswith(NUMERIC) for c, t in df.dtypes if c in data)
     kind = "double" if numeric else "string"
     # a measure may order rows as well: it is copied before it is unpivoted
@@ -52,7 +57,7 @@ def to_points(df: DataFrame, roles: Roles, selected: list[str] | None = None) ->
         name = F.concat_ws(" / ", name, "source_field")
     return cells.select(
         _stream_id(roles).alias("stream_id"),
-        *dict.fromkeys([*roles.unit, *roles.names]),
+        *dict.fromkeys([*roles.unit, *(c for c in roles.names if c not in POINT)]),
         name.alias("metric"),
         "source_field",
         V.text("__v").alias("value_text"),
@@ -60,9 +65,16 @@ def to_points(df: DataFrame, roles: Roles, selected: list[str] | None = None) ->
         (F.col(roles.time) if roles.time else F.lit(None).cast("timestamp")).alias("ts"),
         F.struct(*[F.col(c) for c in roles.seq]).alias("seq") if roles.seq else F.struct(F.lit(0).alias("none")).alias("seq"),
         (F.col(roles.unit_column) if roles.unit_column else F.lit(None).cast("string")).alias("unit"),
+        *([V.key_token(*roles.record_keys).alias("record_id")] if roles.record_keys else []),
+        *([V.joined(*roles.record_labels).alias("record_label")] if roles.record_labels else []),
     )
 
 
+def with_unit_column(roles: Roles, columns: list[str]) -> Roles:
+    """The roles with the table's unit column, if it has one."""
+    return replace(roles, unit_column=roles.unit_column or unit_column(columns))
+
+
 def _stream_id(roles: Roles) -> Column:
     return V.stream_id(F.concat_ws("\u0001", *[V.text(c) for c in roles.unit]), *[F.col(c) for c in roles.names], F.col("source_field"))
 
@@ -101,6 +113,31 @@ def history(points: DataFrame, key: list[str]) -> DataFrame:
     return points.where("value is not null and ts is not null").groupBy(*key, "ts").agg(F.max_by("value", "seq").alias("value"))
 
 
+def recent_history(points: DataFrame, key: list[str], most: int = 250) -> DataFrame:
+    """The ``most`` latest points of each stream's history; the rank is pushed below the shuffle."""
+    return history(points, key).withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ts")))).where(F.col("rn") <= most).drop("rn")
+
+
+def assembled(points: DataFrame, key: list[str], most: int = 250) -> DataFrame:
+    """Every stream's latest ts and value with its bounded history: history_start, history_end and history_points (null
+    and 0 for a stream without numbers in time)."""
+    span = recent_history(points, key, most).groupBy(*key).agg(F.min("ts").alias("history_start"), F.max("ts").alias("history_end"), F.count("*").alias("history_points"))
+    return latest(points, key, ["ts", "value", "value_text"]).join(span, key, "left").fillna(0, ["history_points"])
+
+
+def latest_fields(df: DataFrame, key: list[str], data: list[str], order: list[str]) -> DataFrame:
+    """key, metric, value: every measure of the latest row per key, a row of its own each; nulls stay. The state of a wide
+    table without streams."""
+    row = df.groupBy(*key).agg(F.max_by(F.struct(*data), F.struct(*order)).alias("__r")).select(*key, "__r.*")
+    return row.unpivot(key, data, "metric", "value")
+
+
+def distinct_rows(df: DataFrame, identity: str, others: list[str], limit: int = 200, most: int = 1000) -> DataFrame:
+    """Distinct values of the identity and other fields, in order of all of them; the limit is kept between 1 and ``most``."""
+    fields = list(dict.fromkeys([identity, *others]))
+    return df.select(*fields).distinct().orderBy(*fields).limit(min(max(limit, 1), most))
+
+
 def top_latest(df: DataFrame, key: list[str], order: list[Column], k: int) -> DataFrame:
     """The k first rows per key in the given order, with their rank rn from 1; the rank is pushed below the shuffle."""
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rn") <= k)

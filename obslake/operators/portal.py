@@ -98,3 +98,9 @@ def page_links(html: Column) -> Column:
     bare = F.regexp_extract_all(page, F.lit(BARE_URL), F.lit(1))
     escaped = F.transform(F.regexp_extract_all(page, F.lit(ESCAPED_URL), F.lit(1)), lambda x: F.replace(x, F.lit("\\/"), F.lit("/")))
     return F.array_distinct(F.filter(F.transform(F.concat(attr, bare, escaped), lambda x: F.regexp_replace(normal_url(x), "[.,;:]+$", "")), lambda x: x.isNotNull()))
+
+
+def query_value(c: Column, key: str) -> Column:
+    """The first value of a key in an address's query, decoded; null without one or for what is no address."""
+    raw = F.regexp_extract(F.trim(c), rf"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*\?(?:[^#]*?&)??{key}=([^&#]+)", 1)
+    return F.when(raw != "", F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%20"))))

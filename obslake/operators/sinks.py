@@ -51,3 +51,10 @@ def choose_source(api: DataFrame, file: DataFrame, ts: str, stale_after_s: Colum
     both = api.agg(F.max(ts).alias("api_latest")).crossJoin(F.broadcast(file.agg(F.max(ts).alias("file_latest"))))
     lag = (F.unix_micros(F.col("file_latest").cast("timestamp")) - F.unix_micros(F.col("api_latest").cast("timestamp"))) / 1e6
     return both.select("api_latest", "file_latest", F.when(lag.isNull() | (lag >= stale_after_s), "file").otherwise("api").alias("source"))
+
+
+def status(registered: DataFrame, rows: DataFrame, key: list[str], arrived: str) -> DataFrame:
+    """key, status, rows, latest per registered source: data_available if it has a row, else no_data; the newest arrival."""
+    seen = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.max(arrived).alias("latest"))
+    out = registered.select(*key).distinct().join(seen, key, "left")
+    return out.select(*key, F.when(F.col("rows") > 0, "data_available").otherwise("no_data").alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), "latest")

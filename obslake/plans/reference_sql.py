@@ -87,7 +87,8 @@ def _changes() -> str:
     union select n.dataset_id, n.snapshot_no, n.name, n.name from f n join f o on o.dataset_id = n.dataset_id and o.snapshot_no = n.snapshot_no - 1 and o.name = n.name where o.cls is distinct from n.cls"""
 
 
-def _raw_records() -> str:
+def raw_records(loaded: bool = False) -> str:
+    """Records that can't be loaded with their reason, or the typed rows of the others."""
     plain, quoted = '[^",\\r\\n]*', '"(?:[^"]|"")*"'
     field = f"(?:{plain}|{quoted})"
     nine = ",".join([f"({field})"] * 9)
@@ -95,13 +96,19 @@ def _raw_records() -> str:
     bare = lambda c: f"trim(case when {c} like '\"%' then replace(substr({c}, 2, length({c}) - 2), '\"\"', '\"') else {c} end)"
     bad = lambda c: f"({bare(c)} <> '' and (not regexp_matches({bare(c)}, '{number}') or isinf(try_cast(regexp_replace({bare(c)}, '[<,]', '', 'g') as double))))"
     flag = bare("x.h").replace("trim(", "(", 1)
+    text = lambda c: f"case when {c} like '\"%' then replace(substr({c}, 2, length({c}) - 2), '\"\"', '\"') else {c} end"
+    value = lambda c: f"try_cast(regexp_replace({bare(c)}, '[<,+\\s]', '', 'g') as double)"
+    columns = dict(zip("abcdeghi", ("systemname", "wssn", "locname", "sysloccode", "sampledate", "pfosresult", "pfoaflags", "pfosflags"))) | {"f": "pfoaresult"}
+    typed = ", ".join(f"{value(f'x.{k}') if n in ('pfoaresult', 'pfosresult') else text(f'x.{k}')} as {n}" for k, n in columns.items())
+    below = ", ".join(f"starts_with({bare(f'x.{k}')}, '<') as {columns[k]}_below" for k in "fg")
+    wrong = f"""not ok or k <> 9 or {bad("x.f")} or {bad("x.g")} or ({flag} <> '' and not regexp_matches({flag}, p))"""
+    chosen = f"record_id, file_name, line_no, {typed}, {below} from s, codes where not ({wrong})" if loaded else f"record_id, case when not ok then 'broken_quoting' when k <> 9 then 'column_count' else 'invalid_value' end as reason from s, codes where {wrong}"
     return f"""
-    with w as (select record_id, raw_record as r, regexp_full_match(raw_record, '{field}(?:,{field})*') as ok from michigan_pfas_raw),
+    with w as (select record_id, file_name, line_no, raw_record as r, regexp_full_match(raw_record, '{field}(?:,{field})*') as ok from michigan_pfas_raw),
     n as (select *, length(regexp_replace(r, '{quoted}', '', 'g')) - length(replace(regexp_replace(r, '{quoted}', '', 'g'), ',', '')) + 1 as k from w),
     s as (select *, case when ok and k = 9 then regexp_extract(r, '^{nine}$', ['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i']) end as x from n),
     codes as (select '^(' || string_agg(flag_code, '|') || ')( (' || string_agg(flag_code, '|') || '))*$' as p from pfas_flag)
-    select record_id, case when not ok then 'broken_quoting' when k <> 9 then 'column_count' else 'invalid_value' end as reason
-    from s, codes where not ok or k <> 9 or {bad("x.f")} or {bad("x.g")} or ({flag} <> '' and not regexp_matches({flag}, p))"""
+    select {chosen}"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -226,6 +233,6 @@ def oracle_sql() -> dict[str, str]:
         "prepared_catalogs": "select portal_id, 'https://' || lower(portal_id) as portal_key, case when provider = 'ckan' then 'failed' else 'ready' end as status from portal",
         "source_route": f"select a as api_latest, f as file_latest, case when a is null or f is null or epoch_us(f) - epoch_us(a) >= 1800e6 then 'file' else 'api' end as source from (select max(ts) filter (not late) as a, max(ts) as f from {HALVES})",
         "record_selections": "select 'v1:' || " + b64.format("'[\"' || wssn || '\",\"' || sysloccode || '\"]'") + " as token, systemname || ' / ' || locname as label from (select wssn, sysloccode, arg_min(systemname, row_id) as systemname, arg_min(locname, row_id) as locname from michigan_pfas where wssn <> '' and sysloccode <> '' group by 1, 2)",
-        "p2_found": _raw_records(),
+        "p2_found": raw_records(),
         "p5_found": _changes(),
     }

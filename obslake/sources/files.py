@@ -107,9 +107,9 @@ def shared_snapshot(spark: SparkSession, path: str, read: Callable[[], DataFrame
     return spark.read.parquet(f"{path}/at={kept[-1]}")
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON files as texts, one per file, for envelope_rows()."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON files as texts for envelope_rows(), one per file, or with ``lines`` one per line, read in splits."""
+    return spark.read.text(path, wholetext=not lines).withColumnRenamed("value", "payload")
 
 
 def envelope_rows(df: DataFrame, payload: str, fields: dict[str, str]) -> DataFrame:
