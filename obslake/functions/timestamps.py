@@ -28,8 +28,8 @@ ABBREVIATIONS = {
     "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420,
 }
 DAY_US = 86_400_000_000
-#: Layouts that are read without the pattern, with 0 for every digit.
-PLAIN = ["0000-00-00T00:00:00.000", "0000-00-00T00:00:00", "0000-00-00T00:00:00Z", "0000-00-00 00:00:00"]
+#: The layouts that are read without the pattern.
+PLAIN = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d{3})?Z?$"
 
 
 def div(a: Column, b: int) -> Column:
@@ -47,11 +47,13 @@ def with_parsed_time(df: DataFrame, text: str, prefix: str = "t_") -> DataFrame:
     """
     p = prefix
     t = F.trim(F.regexp_replace(F.col(text), r"[\s\u00a0]+", " "))
-    # the plain layouts are told by their digits' places, so that the pattern runs over the rest alone
-    df = df.select("*", F.inline(F.array(F.struct(F.translate(F.col(text), "123456789", "000000000").isin(PLAIN).alias(f"{p}p")))))
+    # most texts are plain, and the long pattern runs over the rest alone: within a condition of its own, or the optimizer
+    # would work out what both sides of it share for all texts
+    df = df.select("*", F.inline(F.array(F.struct(F.coalesce(F.col(text).rlike(PLAIN), F.lit(False)).alias(f"{p}p")))))
     plain = F.col(f"{p}p")
     # a generator keeps the optimizer from copying the pattern match into every use of its parts
-    df = df.select("*", F.inline(F.array(F.struct(F.split(F.when(~plain & ~F.contains(t, F.lit("|")), F.regexp_replace(t, LAYOUT, PARTS)), r"\|").alias(f"{p}s"), F.when(~plain & t.rlike(_EPOCH), t).alias(f"{p}e")))))
+    split = F.when(~plain, F.when(~F.contains(t, F.lit("|")), F.split(F.regexp_replace(t, LAYOUT, PARTS), r"\|")))
+    df = df.select("*", F.inline(F.array(F.struct(split.alias(f"{p}s"), F.when(~plain, F.when(t.rlike(_EPOCH), t)).alias(f"{p}e")))))
     # what the pattern doesn't match stays one part
     s = F.when(F.size(f"{p}s") == 9, F.col(f"{p}s"))
     part = [s[i] for i in range(9)]
@@ -89,9 +91,9 @@ def with_parsed_time(df: DataFrame, text: str, prefix: str = "t_") -> DataFrame:
     stated = F.endswith(F.col(text), F.lit("Z"))
     simple = F.unix_micros(F.when(stated, F.col(text)).otherwise(F.concat(F.col(text), F.lit("Z"))).try_cast("timestamp"))
     parsed = F.struct(
-        F.when(plain, simple).when(is_epoch, epoch_us).when(~bad, local).alias(f"{p}local_us"),
-        F.when(plain, F.when(stated, 0)).when(is_epoch, F.lit(0)).when(~bad, F.coalesce(offset, named)).alias(f"{p}offset_min"),
-        F.when(~plain & ~bad & offset.isNull() & (word == ""), region).alias(f"{p}region"),
+        F.when(plain, simple).otherwise(F.when(is_epoch, epoch_us).when(~bad, local)).alias(f"{p}local_us"),
+        F.when(plain, F.when(stated, 0)).otherwise(F.when(is_epoch, F.lit(0)).when(~bad, F.coalesce(offset, named))).alias(f"{p}offset_min"),
+        F.when(~plain, F.when(~bad & offset.isNull() & (word == ""), region)).alias(f"{p}region"),
     )
     return df.select("*", F.inline(F.array(parsed))).drop(f"{p}s", f"{p}e", f"{p}p")
 
