@@ -16,9 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obslake.tables import checkpointed
-
-CHUNKS = 128
+from obslake.tables import checkpointed, shards_for
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -90,7 +88,7 @@ def pack(documents: DataFrame, capacity: int) -> DataFrame:
         (tokens > capacity).alias("cut"),
     ).where(~(F.col("cut") & (F.col("n") == 0)))
     # rank within the length: counted per chunk, the chunks' counts added up, ranked within the chunk
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).cast("int")
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(shards_for(documents.count()))).cast("int")
     items = items.withColumn("__chunk", chunk)
     sizes = items.groupBy("n", "__chunk").agg(F.count("*").alias("__c"))
     before = Window.partitionBy("n").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
