@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obslake.tables import union_all
+from obslake.tables import BROADCAST_BYTES, BROADCAST_ROWS, at_most, lookup_join, union_all
 
 # Terms in a dataset's texts and their weights.
 ENVIRONMENT_TERMS = {
@@ -88,7 +88,7 @@ def map_fields(fields: DataFrame, key: list[str], aliases: DataFrame, normal) ->
     ways = F.array(*[F.struct(F.lit(c).alias("matched_by"), F.lit(w).alias("confidence"), F.col(c).alias("t")) for c, w in (("name", 1.0), ("label", 0.96), ("description", 0.88))])
     tried = fields.select(*key, "name", F.inline(ways)).where("t is not null").withColumn("alias", normal("t"))
     known = aliases.select(normal("alias").alias("alias"), "metric_id", "metric_order").where("alias != ''")
-    hit = tried.join(F.broadcast(known) if aliases.limit(100_001).count() <= 100_000 else known, "alias")
+    hit = lookup_join(tried, known, ["alias"], "inner")
     best = hit.groupBy(*key, "name").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "metric_order", "metric_id", "matched_by")).alias("b"))
     return best.select(*key, "name", F.col("b.metric_id").alias("metric_id"), (-F.col("b.c")).alias("confidence"), F.col("b.matched_by").alias("matched_by"))
 
@@ -100,15 +100,17 @@ def match_profiles(mapped: DataFrame, key: list[str], profiles: DataFrame, metad
     without metrics) and metric_id; ``metadata`` a row per dataset with the key, text and has_fields; ``terms`` profile_id
     and term."""
     sizes = profiles.groupBy("profile_id", "profile_order").agg(F.count_if(F.col("kind") == "core").alias("cores"), F.count_if(F.col("kind") == "support").alias("supports"))
-    hits = mapped.select(*key, "metric_id").distinct().join(F.broadcast(profiles), "metric_id").groupBy(*key, "profile_id").agg(F.count_if(F.col("kind") == "core").alias("c"), F.count_if(F.col("kind") == "support").alias("s"))
+    hits = lookup_join(mapped.select(*key, "metric_id").distinct(), profiles, ["metric_id"], "inner").groupBy(*key, "profile_id").agg(F.count_if(F.col("kind") == "core").alias("c"), F.count_if(F.col("kind") == "support").alias("s"))
     if metadata is not None and terms is not None:
         known = terms.distinct().withColumn("__t", F.lower("term"))
+        if not at_most(known, BROADCAST_ROWS, BROADCAST_BYTES):
+            raise ValueError("terms of profiles are a short list")
         said = metadata.select(*key, F.lower("text").alias("__text"), F.coalesce("has_fields", F.lit(False)).alias("has_fields"))
         found = said.join(F.broadcast(known), F.contains("__text", "__t")).groupBy(*key, "profile_id").agg(F.least(F.count("*"), F.lit(2)).alias("m"), F.max("has_fields").alias("has_fields"))
         hits = hits.join(found, [*key, "profile_id"], "full").withColumn("has_fields", F.col("c").isNotNull() | F.col("has_fields")).fillna(0, ["c", "s", "m"])
     else:
         hits = hits.select("*", F.lit(0).alias("m"), F.lit(True).alias("has_fields"))
-    full = hits.join(F.broadcast(sizes), "profile_id")
+    full = lookup_join(hits, sizes, ["profile_id"], "inner")
     conf = 0.65 * F.col("c") / F.greatest("cores", F.lit(1)) + 0.20 * F.col("s") / F.greatest("supports", F.lit(1)) + 0.15 * F.col("m") / 2
     conf = F.when(~F.col("has_fields"), 0.35 * F.col("m") / 2).when(F.col("c") > 0, F.least(F.lit(1.0), conf)).otherwise(F.least(F.lit(1.0), conf) * 0.45)
     full = full.withColumn("confidence", conf).where("confidence >= 0.15")

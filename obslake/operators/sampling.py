@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obslake.functions import values as V
+from obslake.tables import shards_for
 
-SHARDS = 64
 
 
 def chao1(df: DataFrame, entity: str) -> DataFrame:
@@ -27,13 +27,14 @@ def chao1(df: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def with_previous(df: DataFrame, seq: str, columns: list[str], shards: int = SHARDS) -> DataFrame:
+def with_previous(df: DataFrame, seq: str, columns: list[str], shards: int | None = None) -> DataFrame:
     """Adds ``prev_<column>``, the values of the row before in the order of ``seq`` (a number, unique).
 
-    The order is cut into ranges of seq that are looked at independently; each gets its predecessor's last row from a
+    The order is cut into ranges of seq, as many as the number of rows asks for, that are looked at independently; each gets its predecessor's last row from a
     table of one row per range. No range holds more than its share, unless seq is very uneven.
     """
-    lo, hi = df.agg(F.min(seq), F.max(seq)).first()
+    lo, hi, rows = df.agg(F.min(seq), F.max(seq), F.count("*")).first()
+    shards = shards or shards_for(rows)
     if lo is None:
         return df.select("*", *[F.col(c).alias(f"prev_{c}") for c in columns])
     width = max((float(hi) - float(lo)) / shards, 1e-9)

@@ -12,8 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A lookup is broadcast only if it has at most this many rows.
-BROADCAST_ROWS = 100_000
+#: A lookup is broadcast only if it has at most this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
+#: Rows that one task looks at in an order of its own.
+SHARD_ROWS = 1_000_000
 #: The shared folder of each session.
 _OWN: dict[SparkSession, str] = {}
 #: Copies of a larger lookup's rows, so that one hot key is spread over as many tasks.
@@ -24,19 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most ``rows`` rows; reads no more than it needs to decide."""
-    return df.limit(rows + 1).count() <= rows
+def at_most(df: DataFrame, rows: int, most_bytes: int | None = None) -> bool:
+    """Whether df has at most ``rows`` rows, and these at most ``most_bytes`` bytes; reads no more than it needs to decide."""
+    part = df.limit(rows + 1)
+    if most_bytes is None:
+        return part.count() <= rows
+    wide = [F.octet_length(c) if t == "string" else F.octet_length(F.to_json(F.struct(c))) for c, t in df.dtypes if t == "string" or "<" in t]
+    size = F.coalesce(F.sum(sum((F.coalesce(c, F.lit(0)) for c in wide), F.lit(8 * len(df.columns)))), F.lit(0))
+    n, b = part.agg(F.count("*"), size).first()
+    return n <= rows and b <= most_bytes
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Equi-join of a skewed table with a lookup table.
 
-    The lookup is broadcast while it has at most ``max_rows`` rows. Beyond that both sides are shuffled on
+    The lookup is broadcast while it has at most ``max_rows`` rows and BROADCAST_BYTES bytes. Beyond that both sides are shuffled on
     (keys, salt): the lookup's rows are repeated once per salt, so a key with a third of ``big`` is spread
     over ``SALTS`` tasks. Null keys match nothing. ``how`` is inner, left, left_semi or left_anti.
     """
-    if at_most(small, max_rows):
+    if at_most(small, max_rows, BROADCAST_BYTES):
         return big.join(F.broadcast(small), keys, how)
     salt = "__salt"
     salted = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
@@ -44,6 +52,11 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     return salted.join(copies, [*keys, salt], how).drop(salt)
 
 
+def shards_for(rows: int, least: int = 8) -> int:
+    """How many shards so many rows are cut into, so that each has about SHARD_ROWS."""
+    return max(least, -(-rows // SHARD_ROWS))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in enough partitions for all cores, for steps that cost much per row: small inputs come in few.
 
@@ -82,15 +95,14 @@ def release(spark: SparkSession) -> None:
     folder = _OWN.pop(spark, None)
     if not folder:
         return
-    if folder.startswith("file://"):
-        shutil.rmtree(folder.removeprefix("file://"), True)
-        return
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception as e:  # noqa: BLE001 - the session may be gone already
-        print(f"obslake: {folder} is left: {e}", file=sys.stderr)
+    context = spark.sparkContext
+    if context._jsc is None and not folder.startswith(("/", "file:/")):
+        print(f"obslake: {folder} is left, for the session has ended", file=sys.stderr)
+    elif context._jsc is None:
+        shutil.rmtree("/" + folder.removeprefix("file:").lstrip("/"), True)
+    else:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
