@@ -276,7 +276,7 @@ def url_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_reference(spark: SparkSession, d: str) -> DataFrame:
-    """Provider, portal and dataset of addresses."""
+    """provider, portal and dataset of addresses."""
     links = _docs(spark, d).select(F.explode(portal.page_links(F.col("text"))).alias("url")).distinct()
     return portal.parse_reference(links, "url")
 
@@ -306,7 +306,7 @@ def location_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coordinate_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """A32, A33."""
+    """A33."""
     return geo.coordinate_evidence(table(spark, d, "ann_arbor_air_quality"), "lat", "lon")
 
 
@@ -317,7 +317,7 @@ def fingerprint_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reanalysis_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Per dataset whether its last snapshot's fingerprint asks for an analysis."""
+    """Per dataset whether its last snapshot's fingerprint asks for an analysis."""
     f = table(spark, d, "analysis_fingerprint").select("dataset_id", "snapshot_no", "digest", F.col("schema_json").alias("schema"), F.lit("").alias("roles"), "metrics", F.lit("").alias("dimensions"), F.col("coordinate_mode").alias("coordinates"), "ordering", F.unix_seconds("captured_at").alias("at"))
     part = ["digest", "schema", "roles", "metrics", "dimensions", "coordinates", "ordering"]
     last = f.groupBy("dataset_id").agg(F.max("snapshot_no").alias("n"))
@@ -340,7 +340,7 @@ def canonical_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Entries per source and language with stable ids and bounded texts; corpus_fields() has the field names."""
+    """Entries per source and language with stable ids and bounded texts; corpus_fields() has the field names."""
     c = files.corpus_entries(table(spark, d, "documents"), ["portal_id", "source", "doc_id"], "text", 160)
     return c.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_distinct("corpus_id").alias("ids"), F.max(F.length("bounded_text")).alias("longest"), F.min("corpus_id").alias("first_id"))
 
@@ -369,7 +369,7 @@ def dirty_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stale_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Registered sources of every source table without any reading row."""
+    """Registered sources of every source table without any reading row."""
     reg = table(spark, d, "source_registry").select("source_table", F.col("source_name").alias("site"))
     rows = union_all([table(spark, d, n).select(F.lit(n).alias("source_table"), F.col(x[1]).alias("site")) for n, x in TIME_TABLES.items() if x[1]])
     return observations.new_keys(reg, rows, ["source_table", "site"])
@@ -410,13 +410,13 @@ def statistics_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attribute_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Present values of a row as JSON."""
+    """Present values of a row as JSON."""
     p = table(spark, d, "part")
     return p.select("p_partkey", sinks.attributes(p, ["p_name", "p_brand", "p_type", "p_size"]).alias("attributes"))
 
 
 def unsent_reports(spark: SparkSession, d: str) -> DataFrame:
-    """Schemas that changed since the snapshot before."""
+    """Schemas that changed since the snapshot before."""
     f = table(spark, d, "analysis_fingerprint").select("dataset_id", "snapshot_no", "schema_json")
     sent = f.select("dataset_id", (F.col("snapshot_no") + 1).alias("snapshot_no"), F.sha2("schema_json", 256).alias("digest"))
     return sinks.unreported(f, sent, ["dataset_id", "snapshot_no"], "schema_json").select("dataset_id", "snapshot_no", "digest")
@@ -429,7 +429,7 @@ def pruned_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prepared_catalogs(spark: SparkSession, d: str) -> DataFrame:
-    """K06, R09, H07."""
+    """Prepared catalogs after a restart."""
     c = table(spark, d, "portal").select("portal_id", F.concat(F.lit(" HTTPS://"), "portal_id", F.lit("/ ")).alias("portal_url"), F.when(F.col("provider") == "ckan", "running").otherwise("ready").alias("status"))
     return sinks.prepared(c, F.lit(False)).select("portal_id", "portal_key", "status")
 
@@ -441,14 +441,14 @@ def source_route(spark: SparkSession, d: str) -> DataFrame:
 
 
 def role_classification(spark: SparkSession, d: str) -> DataFrame:
-    """Roles of the fields of a survey, one chosen by hand."""
+    """Roles of the fields of a survey, one chosen by hand."""
     p = table(spark, d, "michigan_pfas").drop("row_id", "ingested_at")
     found = roles.classify(p, p.columns, explicit={"systemname": "location"}, times=["sampledate"])
     return spark.createDataFrame(list(found.items()), "field string, role string")
 
 
 def record_selections(spark: SparkSession, d: str) -> DataFrame:
-    """Units of a composite key with labels."""
+    """Units of a composite key with labels."""
     s = roles.RecordStructure(("wssn", "sysloccode"), ("systemname", "locname"))
     return roles.selections(table(spark, d, "michigan_pfas"), s, ["row_id"]).select("token", "label")
 
