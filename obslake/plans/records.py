@@ -9,6 +9,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obslake.functions import values as V
 from obslake.operators import catalog, fingerprint, geo, observations, portal, roles, sinks
@@ -72,7 +73,7 @@ def json_scan(spark: SparkSession, d: str) -> DataFrame:
     return files.envelope_rows(files.read_json(spark, path, lines=True), "payload", {"k": "bigint"}).select(F.col("feature_id").cast("bigint").alias("event_id"), "k")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _archive(names: pd.Series) -> pd.Series:
     def pack(members: list[str]) -> bytes:
         b = io.BytesIO()

@@ -70,3 +70,11 @@ def test_columns_and_distinct_rows(spark, name):
     assert df.dtypes == FOUND[name]
     rows = [tuple(r) for r in df.collect()]
     assert len(rows) == len(set(rows))
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 80"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry_module.__file__), timeout=120)
