@@ -119,6 +119,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.changes(_spans(spark, d)).select("dataset_id", "snapshot_no", "old_name", "new_name")
 
 
+def p5_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent column of every field of every snapshot."""
+    spans = checkpointed(_spans(spark, d))
+    return schema_drift.columns(spans, schema_drift.changes(spans).where("change = 'renamed'").select("dataset_id", "snapshot_no", "old_name", "new_name"))
+
+
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
     """All rows under consistent column names and types, as one JSON object each, keys in order of the snapshot's names."""
     spans = checkpointed(_spans(spark, d))
@@ -153,4 +159,4 @@ def p6_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_zone_estimates, p2_found, p2_loaded, p3_found, p3_flags, p4_found, p4_converted, p5_found, p5_table, p6_found, p6_series)}
+    return {f.__name__: f for f in (p1_found, p1_zone_estimates, p2_found, p2_loaded, p3_found, p3_flags, p4_found, p4_converted, p5_found, p5_columns, p5_table, p6_found, p6_series)}

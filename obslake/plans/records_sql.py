@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from obslake.operators.catalog import ENVIRONMENT_TERMS
 from obslake.operators.roles import CONTEXT_WORDS, MEASURE_WORDS, TIME_NAMES
-from obslake.plans.reference_sql import LINE_POINTS, LINE_SEQ, SCORE, SEARCHABLE, raw_records
+from obslake.plans.reference_sql import LINE_POINTS, LINE_SEQ, SCORE, SEARCHABLE, changes, raw_records
 
 ARRIVALS = "(select 'chicago_beach_weather' as source_table, station_name as source_name, ingested_at from chicago_beach_weather union all select 'ann_arbor_air_quality', location_name, ingested_at from ann_arbor_air_quality union all select 'ann_arbor_rainfall', site, ingested_at from ann_arbor_rainfall)"
 
@@ -29,6 +29,23 @@ ISO = "^\\d{4}-\\d{2}-\\d{2}([T ]\\d{2}:\\d{2}(:\\d{2}([.,]\\d+)?)?)?\\s*([Zz]|[
 NUMBER = "\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*"
 
 
+def _columns() -> str:
+    """The consistent column of every field: lifespans along renames, from the fields and renames of the changes."""
+    fields = changes().split("select * from renamed")[0].replace("with own", "with recursive own", 1).rstrip()
+    return f"""{fields},
+    i as (select dataset_id, name, snapshot_no, cls, snapshot_no - row_number() over (partition by dataset_id, name order by snapshot_no) as island from f),
+    spans as (select *, min(snapshot_no) over (partition by dataset_id, name, island) as since, max(snapshot_no) over (partition by dataset_id, name, island) as until from i),
+    nodes as (select distinct dataset_id, name, since, until from spans),
+    links as (select r.dataset_id, r.new_name as name, r.snapshot_no as since, o.name as old_name, o.since as old_since from renamed r join nodes o on o.dataset_id = r.dataset_id and o.name = r.old_name and o.until = r.snapshot_no - 1),
+    roots as (select dataset_id, name, since, name as root, since as begun from nodes n where not exists (select 1 from links l where l.dataset_id = n.dataset_id and l.name = n.name and l.since = n.since)
+      union all select l.dataset_id, l.name, l.since, r.root, r.begun from links l join roots r on r.dataset_id = l.dataset_id and r.name = l.old_name and r.since = l.old_since),
+    tagged as (select s.*, root, begun from spans s join roots r using (dataset_id, name, since)),
+    c as (select dataset_id, root, begun, arg_max(name, (snapshot_no, name)) as column_name, list_sort(list(distinct cls)) as classes from tagged group by 1, 2, 3),
+    d as (select *, row_number() over (partition by dataset_id, column_name order by begun desc, root desc) as k from c)
+    select dataset_id, snapshot_no, name, case when k > 1 then column_name || '@' || begun else column_name end as column_name,
+      case when len(classes) = 1 then classes[1] when len(list_filter(classes, lambda x: x not in ('integer', 'number'))) = 0 then 'number' else 'text' end as column_class from tagged join d using (dataset_id, root, begun)"""
+
+
 def oracle_sql() -> dict[str, str]:
     haversine = "2 * 6371.0088 * asin(sqrt(pow(sin((radians(lat) - radians(42.28)) / 2), 2) + cos(radians(42.28)) * cos(radians(lat)) * pow(sin(radians(lon - (-83.74)) / 2), 2)))"
     holds = lambda c, words: f"len(list_filter({_listed(words)}, lambda w: contains({c}, w))) > 0"
@@ -97,5 +114,8 @@ def oracle_sql() -> dict[str, str]:
             d as (select dataset_id, case when code % 11 = 0 then 'manual_request' when old is null then 'initial_analysis' when old = digest then 'unchanged' when ago < case when failed then 6 else 24 end * 3600 then 'cooldown'
                 when sc then 'schema_changed' when me then 'metric_coverage_changed' when co then 'coordinate_interpretation_changed' when od then 'physical_ordering_changed' end as reason from j)
             select dataset_id, reason not in ('unchanged', 'cooldown') as should_run, reason from d""",
+        "corpus_fields": """with p as (select field_name, count(*) as n from (select distinct dataset_id, snapshot_no, name, trim(regexp_replace(lower(name), '[^\\pL\\pM\\pN_]+', '_', 'g'), '_') as field_name from open_data_field where name is not null) group by 1)
+            select field_name, n, (select count(*) from p) as unique_field_names from p order by n desc, field_name limit 50""",
+        "p5_columns": _columns(),
         "p2_loaded": raw_records(loaded=True),
     }

@@ -62,7 +62,7 @@ PREVIEW = "select count(*) as names, count(*) filter (c >= 2) as repeated, count
 HALVES = "(select *, coalesce(ts >= (select make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) from events), false) as late from events)"
 
 
-def _changes() -> str:
+def changes() -> str:
     return """
     with own as (
       select dataset_id, snapshot_no, name, min(label) as label, min(description) as description, min(data_type) as data_type from open_data_field where name is not null group by 1, 2, 3),
@@ -234,5 +234,5 @@ def oracle_sql() -> dict[str, str]:
         "source_route": f"select a as api_latest, f as file_latest, case when a is null or f is null or epoch_us(f) - epoch_us(a) >= 1800e6 then 'file' else 'api' end as source from (select max(ts) filter (not late) as a, max(ts) as f from {HALVES})",
         "record_selections": "select 'v1:' || " + b64.format("'[\"' || wssn || '\",\"' || sysloccode || '\"]'") + " as token, systemname || ' / ' || locname as label from (select wssn, sysloccode, arg_min(systemname, row_id) as systemname, arg_min(locname, row_id) as locname from michigan_pfas where wssn <> '' and sysloccode <> '' group by 1, 2)",
         "p2_found": raw_records(),
-        "p5_found": _changes(),
+        "p5_found": changes(),
     }
