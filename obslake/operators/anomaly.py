@@ -151,7 +151,7 @@ RUN = "struct<v:double,t0:bigint,t1:bigint,n:bigint>"
 HIST = "array<struct<bin:bigint,n:bigint>>"
 
 
-def _summary(table: pa.Table, keys: list[str]) -> dict[str, list]:
+def _summary(table: pa.Table) -> dict[str, list]:
     """One shard's readings as arrays and its summary, as columns of one row."""
     t, v = table["t"].to_numpy(), table["v"].to_numpy()
     first = {c: table[c][0].as_py() for c in ("series", "shard", "lo", "hi", "log_scale", "cadence_us")}
@@ -166,7 +166,7 @@ def _summary(table: pa.Table, keys: list[str]) -> dict[str, list]:
     bins = lambda values, width: [{"bin": int(x), "n": int(k)} for x, k in zip(*_histogram(values, width))]
     return {
         **{c: [x] for c, x in first.items()},
-        **{f"{c}s": [table[c].take(pa.array(order)).combine_chunks()] for c in ("t", "v", *keys)},
+        "ts": [ts], "vs": [vs],
         "heads": [edge(slice(0, HALO))], "tails": [edge(slice(-HALO, None))], "runs": [len(a)], "repeated": [int((n > 1).sum())],
         "gap_bins": [bins(gaps, GAP_BIN)], "step_bins": [bins(step, STEP_BIN)],
     }
@@ -203,21 +203,19 @@ def _flagged(row: dict, t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, flag, probability
 
 
-def shards(readings: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per series and shard: its readings as arrays in order of time, and its summary."""
-    df = readings.where("series is not null and t is not null and v is not null and not isnan(v)").select("series", "t", "v", "lo", "hi", "log_scale", "cadence_us", *keys)
+def shards(readings: DataFrame) -> DataFrame:
+    """One row per series and shard: its distinct readings as arrays in order of time, and its summary.
+
+    Copies are made one before anything is gathered, and combined before they are shuffled."""
+    df = readings.where("series is not null and t is not null and v is not null and not isnan(v)").select("series", "t", "v", "lo", "hi", "log_scale", "cadence_us")
     of = df.groupBy("series").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("log_scale").alias("log_scale"), F.min("cadence_us").alias("cadence_us"), F.min("t").alias("__a"), F.max("t").alias("__b"), F.count("*").alias("__n"))
     of = of.withColumn("__width", F.greatest(F.ceil((F.col("__b") - F.col("__a") + 1) * (SHARD_READINGS / F.col("__n"))), F.lit(1)).cast("long"))
-    cut = lookup_join(df.select("series", "t", "v", *keys), of.drop("__n", "__b"), ["series"], "inner")
+    once = df.groupBy("series", "t", "v").agg(F.count("*").alias("__copies")).drop("__copies")
+    cut = lookup_join(once, of.drop("__n", "__b"), ["series"], "inner")
     cut = cut.withColumn("shard", F.call_function("div", F.col("t") - F.col("__a"), F.col("__width"))).drop("__a", "__width")
-    types = dict(df.dtypes)
-    schema = (
-        "series string, shard bigint, lo double, hi double, log_scale boolean, cadence_us bigint, ts array<bigint>, vs array<double>, "
-        + "".join(f"`{c}s` array<{types[c]}>, " for c in keys)
-        + f"heads array<{RUN}>, tails array<{RUN}>, runs bigint, repeated bigint, gap_bins {HIST}, step_bins {HIST}"
-    )
+    schema = f"series string, shard bigint, lo double, hi double, log_scale boolean, cadence_us bigint, ts array<bigint>, vs array<double>, heads array<{RUN}>, tails array<{RUN}>, runs bigint, repeated bigint, gap_bins {HIST}, step_bins {HIST}"
     out = pa.schema([(f.name, t) for f, t in zip(_parsed(schema), _arrow(schema))])
-    return cut.groupBy("series", "shard").applyInArrow(lambda table: pa.table(_summary(table, keys), schema=out), schema)
+    return cut.groupBy("series", "shard").applyInArrow(lambda table: pa.table(_summary(table), schema=out), schema)
 
 
 def _parsed(schema: str):
@@ -281,34 +279,32 @@ def carried(blocks: DataFrame) -> DataFrame:
     return s.join(halo, ["series", "shard"], "left")
 
 
-def flag_readings(readings: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rows (series, t, v, flag, probability) of the distinct flagged readings; with ``keys``, columns that tell rows
-    apart, (series, *keys, t, v, flag, probability) of every flagged row, copies among them.
+def flag_readings(readings: DataFrame) -> DataFrame:
+    """Rows (series, t, v, flag, probability): the distinct flagged readings.
 
     ``readings`` has series, t (microseconds), v (double), lo and hi (hard bounds), log_scale (whether steps are judged
     on the logarithm) and cadence_us. Null or NaN values and null times or series are no readings. Repeated rows count
-    once in the model. Readings out of bounds are flagged out_of_range with probability 1 and don't break runs. Gaps are
-    judged by the series' own usual one where that is longer than its cadence, so sparse series are read like others. A
-    series of one run is stuck if it is longer than the longest that repeating nine times in ten explains.
+    once. Readings out of bounds are flagged out_of_range with probability 1 and don't break runs. Gaps are judged by the
+    series' own usual one where that is longer than its cadence, so sparse series are read like others. A series of one
+    run is stuck if it is longer than the longest that repeating nine times in ten explains.
     """
-    keys = keys or []
-    blocks = checkpointed(shards(readings, keys))
+    blocks = checkpointed(shards(readings))
     known = lookup_join(carried(blocks), constants(blocks), ["series"], "inner")
-    columns = ["series", "lo", "hi", "log_scale", "ts", "vs", *[f"{c}s" for c in keys], "before", "after", "n_before", "t_before", "n_after", "t_after", "usual_us", "sigma", "repeat_p", "to_spike"]
-    joined = lookup_join(spread(blocks).drop("heads", "tails", "runs", "repeated", "gap_bins", "step_bins", "cadence_us"), known, ["series", "shard"], "left").select(*columns)
-    types = dict(readings.dtypes)
-    schema = "series string, " + "".join(f"`{c}` {types[c]}, " for c in keys) + "t bigint, v double, flag string, probability double"
-    out = pa.schema([(f.name, t) for f, t in zip(_parsed(schema), _arrow(schema))])
+    small = ["series", "lo", "hi", "log_scale", "before", "after", "n_before", "t_before", "n_after", "t_after", "usual_us", "sigma", "repeat_p", "to_spike"]
+    joined = lookup_join(spread(blocks.select("series", "shard", "lo", "hi", "log_scale", "ts", "vs")), known, ["series", "shard"], "left").select(*small, "ts", "vs")
+    schema = "series string, t bigint, v double, flag string, probability double"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            small = batch.select([c for c in columns if c not in ("ts", "vs", *[f"{k}s" for k in keys])]).to_pylist()
-            for i, row in enumerate(small):
+            for i, row in enumerate(batch.select(small).to_pylist()):
                 t, v = (batch.column(c)[i].values.to_numpy() for c in ("ts", "vs"))
                 at, flag, probability = _flagged(row, t, v)
                 if len(at):
-                    own = [batch.column(f"{k}s")[i].values.take(pa.array(at)) for k in keys]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["series"]] * len(at), pa.string()), *own, pa.array(t[at]), pa.array(v[at]), pa.array(flag.tolist(), pa.string()), pa.array(probability)], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["series"]] * len(at), pa.string()), pa.array(t[at]), pa.array(v[at]), pa.array(flag.tolist(), pa.string()), pa.array(probability)], names=["series", "t", "v", "flag", "probability"])
+
+    return joined.mapInArrow(judge, schema)
+
 
-    flagged = joined.mapInArrow(judge, schema)
-    return flagged if keys else flagged.distinct()
+def flag_rows(rows: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The rows of all flagged readings, copies among them, with flag and probability."""
+    return lookup_join(rows.drop("flag", "probability"), flagged, ["series", "t", "v"], "inner")

@@ -89,7 +89,8 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_flags(spark: SparkSession, d: str) -> DataFrame:
     """Every flagged reading with its kind and probability; copies of a flagged row are flagged too."""
-    flagged = anomaly.flag_readings(checkpointed(_measured(spark, d)), ["row_id"])
+    rows = checkpointed(_measured(spark, d))
+    flagged = anomaly.flag_rows(rows.select("row_id", "series", "t", "v"), checkpointed(anomaly.flag_readings(rows)))
     part = F.split("series", r"\|", 3)
     return flagged.select(part[0].alias("table_name"), "row_id", part[1].alias("field_name"), "flag", "probability")
 

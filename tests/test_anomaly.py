@@ -102,8 +102,10 @@ def test_runs_across_shards(spark, monkeypatch, shard):
     assert len(got) <= 152
 
 
-def test_keys_tell_copies_apart(spark):
+def test_copies_are_flagged_too(spark):
     p = series(7, 400)
     p[50] = (p[50][0], 80.0)
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows(p) + rows([p[50]]))], SCHEMA + ", row_id long")
-    assert sorted(r.row_id for r in A.flag_readings(df, ["row_id"]).where("flag = 'out_of_range'").collect()) == [50, 400]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows(p) + rows([p[50]]) * 3)], SCHEMA + ", row_id long")
+    flagged = A.flag_readings(df)
+    assert flagged.where("flag = 'out_of_range'").count() == 1
+    assert sorted(r.row_id for r in A.flag_rows(df, flagged).where("flag = 'out_of_range'").collect()) == [50, 400, 401, 402]
