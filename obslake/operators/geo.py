@@ -13,6 +13,9 @@ LATITUDES, LONGITUDES, GEOMETRIES = ("latitude", "lat", "y_lat", "y_latitude"),
 MODE_LATITUDES, MODE_LONGITUDES, MODE_GEOMETRIES = ("latitude", "lat", "y_wgs84"), ("longitude", "lon", "lng", "x_wgs84"), ("geometry", "geom", "geolocation", "location")
 
 
+GEOMETRY_TYPES = ("point", "multipoint", "line", "linestring", "multilinestring", "polygon", "multipolygon", "geometry", "geometrycollection")
+
+
 def coordinate_fields(fields: list[str]) -> list[str]:
     """The fields that are named as coordinates or geometries, in order."""
     return [f for f in fields if f.casefold() in (*LATITUDES, *LONGITUDES, *GEOMETRIES)]
@@ -39,6 +42,12 @@ def valid(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
 
 
+def geometry_type(c: Column) -> Column:
+    """The kind of geometry, in small letters, that a GeoJSON text holds; null for other texts."""
+    kind = F.lower(F.try_variant_get(F.try_parse_json(c), "$.type", "string"))
+    return F.when(kind.isin(*GEOMETRY_TYPES), kind)
+
+
 def geojson_point(c: Column) -> Column:
     """struct<lat, lon> of a GeoJSON point's text, else null."""
     v = F.try_parse_json(c)

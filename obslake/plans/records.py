@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from obslake.functions import values as V
 from obslake.operators import catalog, fingerprint, geo, observations, portal, roles, sinks
 from obslake.plans.problems import TIME_TABLES
-from obslake.plans.reference import EVENTS, LINES
+from obslake.plans.reference import EVENTS, LINES, PROFILES, ontology_mapping
 from obslake.sources import files
 from obslake.streaming import refresh
 from obslake.tables import shared_folder, table, union_all
@@ -135,6 +135,55 @@ def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", catalog.candidate_label(F.col("score"), F.col("title"), why).alias("label"))
 
 
+TERMS = [("weather", "temperature"), ("weather", "wind"), ("air", "ozone"), ("air", "particles"), ("water", "water"), ("water", "flow")]
+
+
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    """Of each dataset's last listed snapshot: its fields' names and descriptions as texts. A snapshot has as many fields as columns."""
+    f = table(spark, d, "open_data_field").where("name is not null")
+    last = f.groupBy("dataset_id").agg(F.max("snapshot_no").alias("snapshot_no"))
+    one = f.join(last, ["dataset_id", "snapshot_no"]).groupBy("dataset_id", "snapshot_no")
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.lower(c))), " ")
+    return one.agg(joined("name").alias("fields"), joined("description").alias("description"), F.max("captured_at").alias("captured_at"))
+
+
+def _profiled(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.createDataFrame(PROFILES, "profile_id string, profile_order int, kind string, metric_id string")
+    terms = spark.createDataFrame(TERMS, "profile_id string, term string")
+    metadata = _described(spark, d).select("dataset_id", F.col("description").alias("text"), (F.col("fields") != "").alias("has_fields"))
+    return catalog.match_profiles(ontology_mapping(spark, d), ["dataset_id"], p, metadata, terms)
+
+
+def described_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of each dataset by its fields and by terms in their descriptions."""
+    return _profiled(spark, d)
+
+
+def scored_datasets(spark: SparkSession, d: str) -> DataFrame:
+    """Datasets scored by their texts, fields, files, quality and the confidence of their profile."""
+    files_ = table(spark, d, "open_data_row").groupBy("dataset_id").agg(F.min("file_name").alias("resource"))
+    df = _described(spark, d).join(files_, "dataset_id", "left").join(_profiled(spark, d).select("dataset_id", "confidence"), "dataset_id", "left")
+    view = F.when(F.length("fields") % 2 == 0, "Table").otherwise("map")
+    adjustment = catalog.quality(F.col("description"), view, F.col("snapshot_no") % 3 == 0, F.col("captured_at").isNotNull(), F.col("fields") != "")
+    return catalog.score(df.withColumn("title", F.col("dataset_id")), "title", "description", "fields", "resource", adjustment, F.col("confidence")).select("dataset_id", "score")
+
+
+def geometry_types(spark: SparkSession, d: str) -> DataFrame:
+    """The kind of geometry in texts, and the coordinates of points."""
+    kind = F.when(F.col("row_id") % 4 == 0, "Polygon").when(F.col("row_id") % 4 == 1, "point").otherwise("Point")
+    text = F.when(F.col("row_id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(kind.alias("type"), F.array("lon", "lat").alias("coordinates"))))
+    g = table(spark, d, "ann_arbor_air_quality").select("row_id", text.alias("g"))
+    p = geo.geojson_point(F.col("g"))
+    return g.select("row_id", geo.geometry_type(F.col("g")).alias("kind"), p["lat"].alias("lat"), p["lon"].alias("lon"))
+
+
+def metadata_texts(spark: SparkSession, d: str) -> DataFrame:
+    """all texts in nested metadata, in order."""
+    r = table(spark, d, "open_data_row")
+    nested = F.concat(F.lit('{"a": {"b": ["first", 1, null, {"c": '), F.to_json(F.struct("file_name")), F.lit('}]}, "payload": '), F.col("payload"), F.lit("}"))
+    return r.select("dataset_id", "snapshot_no", "row_no", F.array_join(V.json_texts(nested), "|").alias("texts"))
+
+
 def normal_lists(spark: SparkSession, d: str) -> DataFrame:
     """Lists of codes trimmed, without empty and repeated ones, in order."""
     p = table(spark, d, "michigan_pfas")
@@ -207,7 +256,7 @@ def reanalysis_states(spark: SparkSession, d: str) -> DataFrame:
 
 ALL = [
     record_points, stream_snapshot, wide_states, source_status, snapshot_tick, csv_scan, json_scan, gtfs_check, distinct_records, language_packs, international_mapping, retained_roles,
-    candidate_labels, normal_lists, entity_keys, query_values, parsed_times, coordinate_modes, resource_lookup, catalog_preparation, selection_pipeline, reanalysis_states,
+    candidate_labels, normal_lists, entity_keys, query_values, parsed_times, coordinate_modes, resource_lookup, catalog_preparation, selection_pipeline, reanalysis_states, described_profiles, scored_datasets, geometry_types, metadata_texts,
 ]
 
 

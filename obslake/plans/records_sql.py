@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from obslake.operators.catalog import ENVIRONMENT_TERMS
+from obslake.operators.catalog import DERIVED_MARKERS, ENVIRONMENT_TERMS, FIELD_TERMS, OFFICIAL_MARKERS
 from obslake.operators.roles import CONTEXT_WORDS, MEASURE_WORDS, TIME_NAMES
-from obslake.plans.reference_sql import LINE_POINTS, LINE_SEQ, SCORE, SEARCHABLE, changes, raw_records
+from obslake.plans.records import TERMS
+from obslake.plans.reference import PROFILES
+from obslake.plans.reference_sql import LINE_POINTS, LINE_SEQ, MAPPING, SCORE, SEARCHABLE, any_of, changes, raw_records, sum_terms
 
 ARRIVALS = "(select 'chicago_beach_weather' as source_table, station_name as source_name, ingested_at from chicago_beach_weather union all select 'ann_arbor_air_quality', location_name, ingested_at from ann_arbor_air_quality union all select 'ann_arbor_rainfall', site, ingested_at from ann_arbor_rainfall)"
 
@@ -58,6 +60,18 @@ def oracle_sql() -> dict[str, str]:
             then epoch_us(try_cast(regexp_replace(regexp_replace(regexp_replace(replace(trim(t), ',', '.'), '[Zz]$', '+00:00'), '([+-]\\d{{2}}):?(\\d{{2}})$', '\\1:\\2'), '\\s+([+-]\\d{{2}}:\\d{{2}})$', '\\1') as timestamptz))
             else epoch_us(try_cast(replace(trim(t), ',', '.') as timestamp)) end end"""
     number = f"case when regexp_full_match(t, '{NUMBER}') then try_cast(trim(t) as double) end"
+    described = """select dataset_id, snapshot_no, array_to_string(list_sort(list(distinct lower(name))), ' ') as fields, coalesce(array_to_string(list_sort(list(distinct lower(description)) filter (description is not null)), ' '), '') as description, max(captured_at) as captured_at
+        from open_data_field where name is not null group by 1, 2 qualify row_number() over (partition by dataset_id order by snapshot_no desc) = 1"""
+    profiles = ", ".join(f"('{a}', {o}, '{k}', '{m}')" for a, o, k, m in PROFILES)
+    terms = ", ".join(f"('{a}', '{t}')" for a, t in TERMS)
+    profiled = f"""
+        with pr(profile_id, o, kind, metric_id) as (values {profiles}), te(profile_id, term) as (values {terms}),
+        z as (select profile_id, o, count(*) filter (kind = 'core') as cores, count(*) filter (kind = 'support') as supports from pr group by 1, 2),
+        h as (select dataset_id, profile_id, count(*) filter (kind = 'core') as c, count(*) filter (kind = 'support') as s from (select distinct dataset_id, metric_id from ({MAPPING})) join pr using (metric_id) group by 1, 2),
+        m as (select dataset_id, profile_id, least(count(*), 2) as m, bool_or(fields <> '') as has from ({described}) join te on contains(description, term) group by 1, 2),
+        x as (select coalesce(h.dataset_id, m.dataset_id) as dataset_id, coalesce(h.profile_id, m.profile_id) as profile_id, coalesce(c, 0) as c, coalesce(s, 0) as s, coalesce(m, 0) as m, (c is not null or has) as has from h full join m on h.dataset_id = m.dataset_id and h.profile_id = m.profile_id),
+        y as (select dataset_id, profile_id, o, case when not has then 0.35 * m / 2 else least(1.0, 0.65 * c / greatest(cores, 1) + 0.2 * s / greatest(supports, 1) + 0.15 * m / 2) * case when c > 0 then 1.0 else 0.45 end end as confidence from x join z using (profile_id))
+        select dataset_id, profile_id, confidence from y where confidence >= 0.15 qualify row_number() over (partition by dataset_id order by confidence desc, o) = 1"""
     return {
         "record_points": f"""select unit_id, m as metric, unit, value as value_text, record_id, record_label from (
             select unit_id, coalesce({_squeeze('metric')}, '') as m, unit, value, {_token('unit_id', 'stream_id')} as record_id, coalesce({_squeeze('record_label')}, '') as record_label, observed_at, obs_id from semantic_observation where unit_id <> '' and value is not null)
@@ -89,6 +103,16 @@ def oracle_sql() -> dict[str, str]:
         "candidate_labels": f"""with s as (select doc_id, concat_ws(' ', source, doc_id::varchar) as title, t, {SCORE} as score from (select doc_id, source, {SEARCHABLE} as t from documents)),
             r as (select *, list_filter({_listed(tuple(ENVIRONMENT_TERMS))}, lambda x: contains(t, x))[1:3] as why from s where score >= 20)
             select doc_id, substr(lpad(score::varchar, greatest(3, length(score::varchar))::int, '0') || ' · ' || substr(title, 1, 100) || case when len(why) > 0 then ' — ' || array_to_string(why, ', ') else '' end, 1, 150) as label from r""",
+        "described_profiles": f"select dataset_id, profile_id, round(confidence, 6)::double as confidence from ({profiled})",
+        "scored_datasets": f"""with p as (select dataset_id, round(confidence, 6) as confidence from ({profiled})), r as (select distinct dataset_id, true as resource from open_data_row),
+            x as (select *, regexp_replace(lower(concat_ws(' ', dataset_id, description)), '[^a-z0-9.]+', ' ', 'g') as t from ({described}) left join p using (dataset_id) left join r using (dataset_id))
+            select dataset_id, {SCORE} + case when resource then 15 else 0 end + case when fields <> '' then 10 + {sum_terms('lower(fields)', FIELD_TERMS)} else 0 end
+                + case when {any_of('lower(description)', OFFICIAL_MARKERS)} then 10 else 0 end + case when {any_of('lower(description)', DERIVED_MARKERS)} then -30 else 0 end
+                + case when length(fields) % 2 = 0 then 12 else -18 end + case when snapshot_no % 3 = 0 then -14 else 0 end + case when captured_at is not null then 4 else 0 end + case when fields <> '' then 6 else 0 end
+                + coalesce(round_even(confidence * case when fields <> '' then 55 else 30 end, 0)::int, 0) as score from x""",
+        "geometry_types": """select row_id, case when row_id % 5 <> 0 then case when row_id % 4 = 0 then 'polygon' else 'point' end end as kind,
+            case when row_id % 5 <> 0 and row_id % 4 <> 0 and lat between -90 and 90 and lon between -180 and 180 then lat end as lat, case when row_id % 5 <> 0 and row_id % 4 <> 0 and lat between -90 and 90 and lon between -180 and 180 then lon end as lon from ann_arbor_air_quality""",
+        "metadata_texts": """select r.dataset_id, r.snapshot_no, r.row_no, concat_ws('|', 'first', r.file_name, string_agg(j.value->>'$', '|' order by j.id)) as texts from open_data_row r left join json_each(r.payload) j on j.type = 'VARCHAR' group by r.dataset_id, r.snapshot_no, r.row_no, r.file_name""",
         "normal_lists": "select row_id, concat_ws('|', a, case when b is distinct from a then b end) as codes from (select row_id, nullif(trim(pfoaflags), '') as a, nullif(trim(pfosflags), '') as b from michigan_pfas)",
         "entity_keys": "select row_id, nullif(concat_ws('|', nullif(trim(wssn), ''), nullif(trim(sysloccode), ''), nullif(trim(pfoaflags), '')), '') as entity from michigan_pfas",
         "query_values": "select portal_id, title as q, null::varchar as sort, null::varchar as none from portal",

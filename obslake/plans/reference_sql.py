@@ -12,16 +12,16 @@ LINE_SEQ = "l_orderkey desc, l_partkey desc, l_linenumber desc, l_quantity desc,
 GAP = "select median(g) as c from (select epoch_us(t) / 1e6 - epoch_us(lag(t) over (order by t)) / 1e6 as g from (select distinct ts as t from events order by t desc limit 51))"
 
 
-def _sum_terms(text: str, terms: dict[str, int]) -> str:
+def sum_terms(text: str, terms: dict[str, int]) -> str:
     return " + ".join(f"case when contains({text}, '{t}') then {w} else 0 end" for t, w in terms.items())
 
 
-def _any(text: str, words: list[str]) -> str:
+def any_of(text: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
 SEARCHABLE = "regexp_replace(lower(concat_ws(' ', source, text)), '[^a-z0-9.]+', ' ', 'g')"
-SCORE = _sum_terms("t", ENVIRONMENT_TERMS | LOW_VALUE_TERMS)
+SCORE = sum_terms("t", ENVIRONMENT_TERMS | LOW_VALUE_TERMS)
 
 
 def _buckets(width: str) -> str:
@@ -111,6 +111,19 @@ def raw_records(loaded: bool = False) -> str:
     select {chosen}"""
 
 
+def _ident(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), '_')"
+
+
+MAPPING = f"""
+      select dataset_id, name, metric_id, max(conf) as confidence, arg_max(how, conf) as matched_by from (
+        select f.dataset_id, f.name, a.quantity as metric_id, w.conf, w.how, row_number() over (partition by f.dataset_id, f.name order by w.conf desc, a.quantity) as rn
+        from (select distinct dataset_id, name, label, description from open_data_field) f,
+        lateral (values (f.name, 1.0::double, 'name'), (f.label, 0.96::double, 'label'), (f.description, 0.88::double, 'description')) w(t, conf, how)
+        join metric_alias a on {_ident("a.metric_label")} = {_ident("w.t")} where {_ident("a.metric_label")} <> '')
+      where rn = 1 group by 1, 2, 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     people = {"c_custkey": "c_custkey", "n_name": "n_name", "r_name": "r_name", "c_mktsegment": "c_mktsegment"}
     b64 = "rtrim(translate(base64(encode({})), '+/', '-_'), '=')"
@@ -118,14 +131,6 @@ def oracle_sql() -> dict[str, str]:
     links = "select doc_id, unnest(regexp_extract_all(text, '(https?://\\S+)', 1)) as url from documents"
     clean = "select doc_id, regexp_replace(regexp_replace(regexp_replace(u, '[?#].*$', ''), '/+$', ''), '[.,;:]+$', '') as link from (select doc_id, unnest(regexp_extract_all(text, '(https?://[^\\s\"''<>\\\\)]+)', 1)) as u from documents)"
     haversine = "2 * 6371.0088 * asin(sqrt(pow(sin((radians(lat) - radians(42.28)) / 2), 2) + cos(radians(42.28)) * cos(radians(lat)) * pow(sin(radians(lon - (-83.74)) / 2), 2)))"
-    ident = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), '_')"
-    mapping = f"""
-      select dataset_id, name, metric_id, max(conf) as confidence, arg_max(how, conf) as matched_by from (
-        select f.dataset_id, f.name, a.quantity as metric_id, w.conf, w.how, row_number() over (partition by f.dataset_id, f.name order by w.conf desc, a.quantity) as rn
-        from (select distinct dataset_id, name, label, description from open_data_field) f,
-        lateral (values (f.name, 1.0::double, 'name'), (f.label, 0.96::double, 'label'), (f.description, 0.88::double, 'description')) w(t, conf, how)
-        join metric_alias a on {ident("a.metric_label")} = {ident("w.t")} where {ident("a.metric_label")} <> '')
-      where rn = 1 group by 1, 2, 3"""
     canon = lambda c: f"case when try_cast({c} as double) is not null then (try_cast({c} as double))::bigint::varchar else lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))) end"
     return {
         "latest_per_stream": f"select {STREAM} as stream_id, user_id, event_type as metric, ts, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
@@ -181,13 +186,13 @@ def oracle_sql() -> dict[str, str]:
         "new_streams": f"select distinct user_id, event_type from {HALVES} where late except select user_id, event_type from {HALVES} where not late",
         "reconcile_selection": "select case when c_custkey % 2 = 0 then 'v1:' || " + b64.format("'[\"' || c_custkey || '\"]'") + " else c_custkey::varchar end as saved, c_custkey from customer",
         "score_catalog": f"select doc_id, {SCORE} as score from (select doc_id, {SEARCHABLE} as t from documents)",
-        "catalog_quality": f"select doc_id, case when {_any('t', OFFICIAL_MARKERS)} then 10 else 0 end + case when {_any('t', DERIVED_MARKERS)} then -30 else 0 end + case when source = 'catalog_description' then 12 else -18 end as adjustment from (select doc_id, source, lower(concat_ws(' ', source, text)) as t from documents)",
+        "catalog_quality": f"select doc_id, case when {any_of('t', OFFICIAL_MARKERS)} then 10 else 0 end + case when {any_of('t', DERIVED_MARKERS)} then -30 else 0 end + case when source = 'catalog_description' then 12 else -18 end as adjustment from (select doc_id, source, lower(concat_ws(' ', source, text)) as t from documents)",
         "rank_catalog": f"select doc_id, score from (select doc_id, {SCORE} as score from (select doc_id, {SEARCHABLE} as t from documents)) where score >= 20 order by score desc, doc_id limit 10",
         "search_catalog": "select doc_id from documents where contains(lower(text), 'ozone') and contains(lower(text), 'sensor')",
-        "ontology_mapping": mapping,
+        "ontology_mapping": MAPPING,
         "profile_match": f"""with pr(profile_id, o, kind, metric_id) as (values ('weather', 1, 'core', 'air_temperature'), ('weather', 1, 'core', 'relative_humidity'), ('weather', 1, 'support', 'wind_speed'), ('weather', 1, 'support', 'air_pressure'), ('air', 2, 'core', 'pm2_5'), ('air', 2, 'core', 'nitrogen_dioxide'), ('water', 3, 'core', 'water_level'), ('water', 3, 'support', 'streamflow')),
             z as (select profile_id, o, count(*) filter (kind = 'core') as cores, count(*) filter (kind = 'support') as supports from pr group by 1, 2),
-            h as (select dataset_id, profile_id, count(*) filter (kind = 'core') as c, count(*) filter (kind = 'support') as s from (select distinct dataset_id, metric_id from ({mapping})) join pr using (metric_id) group by 1, 2),
+            h as (select dataset_id, profile_id, count(*) filter (kind = 'core') as c, count(*) filter (kind = 'support') as s from (select distinct dataset_id, metric_id from ({MAPPING})) join pr using (metric_id) group by 1, 2),
             x as (select dataset_id, h.profile_id, o, (0.65 * c / greatest(cores, 1) + 0.2 * s / greatest(supports, 1)) * case when c > 0 then 1.0 else 0.45 end as confidence from h join z using (profile_id))
             select dataset_id, profile_id, round(confidence, 6)::double as confidence from x where confidence >= 0.15 qualify row_number() over (partition by dataset_id order by confidence desc, o) = 1""",
         "url_normalize": f"select distinct url, lower({url.format('url')}) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') as normal, lower({url.format('url')}) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) as origin from ({links})",

@@ -99,3 +99,15 @@ def test_states_survive_bad_json(spark):
     now = spark.createDataFrame([("a", *["q"] * 7)], "k string, " + ", ".join(f"{c} string" for c in part))
     reason = lambda t, manual=False: fingerprint.decide(fingerprint.load_state(kept, "k", "state"), now, "k", F.lit(t), manual).first().reason
     assert [reason(2000.0), reason(1000.0 + 6 * 3600), reason(2000.0, True)] == ["cooldown", "schema_changed", "manual_request"]
+
+
+def test_texts_in_nested_json(spark):
+    rows = ['{"a": "x", "b": ["y", 1, {"c": "q\\"u", "d": null}], "e": {}}', '["k", ":"]', '"alone"', "{}", "{broken", "", None]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "j string").select(V.json_texts("j")).collect()]
+    assert got == [["x", "y", 'q"u'], ["k", ":"], ["alone"], [], None, None, None]
+
+
+def test_geometry_types(spark):
+    rows = ['{"type": "MultiPolygon"}', '{"type": "Feature"}', '{"type": 3}', "[]", "no", None]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "j string").select(geo.geometry_type(F.col("j"))).collect()]
+    assert got == ["multipolygon", None, None, None, None, None]
