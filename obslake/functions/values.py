@@ -153,6 +153,6 @@ def json_texts(c: Column | str) -> Column:
     """All texts among the values of a JSON text, at every depth, in order, unescaped; keys, numbers and nulls aren't among
     them. Null for what is no JSON."""
     # texts are matched together with a colon behind them, which makes them keys
-    found = F.regexp_extract_all(text(c), F.lit(r'("(?:[^"\\\\]|\\\\.)*"\s*:?)'), F.lit(1))
+    found = F.regexp_extract_all(text(c), F.lit(r'("(?:[^"\\]|\\.)*"\s*:?)'), F.lit(1))
     values = F.filter(found, lambda x: ~F.endswith(x, F.lit(":")))
     return F.when(F.try_parse_json(text(c)).isNotNull(), F.transform(values, lambda x: F.try_variant_get(F.try_parse_json(F.trim(x)), "$", "string")))
