@@ -99,6 +99,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_flags(spark, d).select("table_name", "row_id", "field_name")
 
 
+def p3_impossible(spark: SparkSession, d: str) -> DataFrame:
+    """Of the flagged readings, those out of range."""
+    return p3_flags(spark, d).where("flag = 'out_of_range'").select("table_name", "row_id", "field_name")
+
+
 def p4_converted(spark: SparkSession, d: str) -> DataFrame:
     """Every observation with its quantity, recorded unit and value in the common unit."""
     o = table(spark, d, "semantic_observation").select("obs_id", "stream_id", "unit_id", "metric", "source_field", "value", "unit", "record_label", "observed_at")
@@ -160,4 +165,4 @@ def p6_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_zone_estimates, p2_found, p2_loaded, p3_found, p3_flags, p4_found, p4_converted, p5_found, p5_columns, p5_table, p6_found, p6_series)}
+    return {f.__name__: f for f in (p1_found, p1_zone_estimates, p2_found, p2_loaded, p3_found, p3_flags, p3_impossible, p4_found, p4_converted, p5_found, p5_columns, p5_table, p6_found, p6_series)}

@@ -65,7 +65,11 @@ def oracle_sql() -> dict[str, str]:
     ]
     layout = "case table_name " + " ".join(f"when '{k}' then '{v}'" for k, v in usual.items()) + r" else '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}' end"
     series = " union all ".join([_grid("chicago_beach_weather", "measurement_timestamp", "station_name", "air_temperature", True), _grid("ann_arbor_rainfall", "period", "site", "rainfall", False)])
+    weather = f"({instants(_source_rows('chicago_beach_weather', 'measurement_timestamp', 'station_name', ', air_temperature, humidity'))})"
+    air = f"({instants(_source_rows('ann_arbor_air_quality', 'timestamp_hour_start', 'location_name', ', pm2point5_raw'))})"
+    beyond = [("air_temperature", weather, -60, 60), ("humidity", weather, 0, 100), ("pm2point5_raw", air, 0, 1000)]
     return {
+        "p3_impossible": " union all ".join(f"select table_name, row_id, '{f}' as field_name from {q} where utc_us is not null and source_name is not null and not {f} between {lo} and {hi}" for f, q, lo, hi in beyond),
         "p1_found": f"select table_name, row_id, coalesce(strftime(make_timestamp(utc_us // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%gZ'), '') as utc_text from ({instants(' union all '.join(tables))}) where t <> '' and (not regexp_full_match(t, {layout}) or utc_us is null)",
         "p6_found": f"select table_name, source_name, slot_ms from ({series}) where status <> 'observed'",
         "p6_series": series,

@@ -13,6 +13,8 @@ from obslake.tables import union_all
 
 #: Parts that tables kept by streams are cut into.
 BUCKETS = 64
+#: Their partition columns.
+PART, VERSION = "__part", "__version"
 
 
 def bucketed(points: DataFrame, key: list[str], ts: str, value: str, minutes: int, watermark: str | None = None) -> DataFrame:
@@ -67,14 +69,14 @@ def discover(known_path: str, key: list[str]) -> Callable[[DataFrame, int], None
 
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        keys = batch.select(*key).distinct().withColumn("bucket", _bucket(key))
+        keys = batch.select(*key).distinct().withColumn(PART, _bucket(key))
         path, fs = _hadoop(spark, known_path)
         if fs.exists(path):
             # at most one row per bucket
-            touched = [r[0] for r in keys.select("bucket").distinct().collect()]
+            touched = [r[0] for r in keys.select(PART).distinct().collect()]
             schema = keys.schema
-            keys = keys.join(spark.read.schema(schema).parquet(known_path).where(F.col("bucket").isin(touched)), [*key, "bucket"], "left_anti")
-        keys.write.mode("append").partitionBy("bucket").parquet(known_path)
+            keys = keys.join(spark.read.schema(schema).parquet(known_path).where(F.col(PART).isin(touched)), [*key, PART], "left_anti")
+        keys.write.mode("append").partitionBy(PART).parquet(known_path)
 
     return sink
 
@@ -84,7 +86,7 @@ def _versions(spark: SparkSession, kept_path: str) -> dict[int, list[int]]:
     path, fs = _hadoop(spark, kept_path)
     out: dict[int, list[int]] = {}
     if fs.exists(path):
-        for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{kept_path}/bucket=*/v=*")) or []:
+        for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{kept_path}/{PART}=*/{VERSION}=*")) or []:
             b, v = (int(x.split("=")[1]) for x in s.getPath().toString().rsplit("/", 2)[1:])
             out.setdefault(b, []).append(v)
     return {b: sorted(v) for b, v in out.items()}
@@ -93,7 +95,7 @@ def _versions(spark: SparkSession, kept_path: str) -> dict[int, list[int]]:
 def kept_latest(spark: SparkSession, kept_path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
     """The latest points kept by refresh_latest(), as of the batch before ``before``; None if there are none."""
     newest = {b: max((x for x in v if before is None or x < before), default=None) for b, v in _versions(spark, kept_path).items() if buckets is None or b in buckets}
-    paths = [f"{kept_path}/bucket={b}/v={v}" for b, v in newest.items() if v is not None]
+    paths = [f"{kept_path}/{PART}={b}/{VERSION}={v}" for b, v in newest.items() if v is not None]
     return spark.read.parquet(*paths) if paths else None
 
 
@@ -107,16 +109,16 @@ def refresh_latest(kept_path: str, key: list[str]) -> Callable[[DataFrame, int],
 
     def sink(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        fresh = observations.latest(batch, key).withColumn("bucket", _bucket(key)).persist()
-        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+        fresh = observations.latest(batch, key).withColumn(PART, _bucket(key)).persist()
+        touched = [r[0] for r in fresh.select(PART).distinct().collect()]
         old = kept_latest(spark, kept_path, n, touched)
-        both = fresh.drop("bucket") if old is None else fresh.drop("bucket").unionByName(old)
-        merged = observations.latest(both, key).withColumn("bucket", _bucket(key)).withColumn("v", F.lit(n))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(kept_path)
+        both = fresh.drop(PART) if old is None else fresh.drop(PART).unionByName(old)
+        merged = observations.latest(both, key).withColumn(PART, _bucket(key)).withColumn(VERSION, F.lit(n))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART, VERSION).parquet(kept_path)
         fresh.unpersist()
         for b, versions in _versions(spark, kept_path).items():
             for v in versions[:-2]:
-                path, fs = _hadoop(spark, f"{kept_path}/bucket={b}/v={v}")
+                path, fs = _hadoop(spark, f"{kept_path}/{PART}={b}/{VERSION}={v}")
                 fs.delete(path, True)
 
     return sink
