@@ -137,5 +137,10 @@ def unusual_times(df: DataFrame, text: str, usual: str) -> Column:
     return F.col(text).isNotNull() & (F.col(text) != "") & (~F.col(text).rlike(usual) | F.col("utc_us").isNull())
 
 
+def found_text() -> Column:
+    """The instant of normalise_times() as a text, empty if there is none."""
+    return F.coalesce(utc_text(F.col("utc_us")), F.lit(""))
+
+
 def found(df: DataFrame, table_name: str, text: str, usual: str) -> DataFrame:
-    return df.where(unusual_times(df, text, usual)).select(F.lit(table_name).alias("table_name"), "row_id", F.coalesce(utc_text(F.col("utc_us")), F.lit("")).alias("utc_text"))
+    return df.where(unusual_times(df, text, usual)).select(F.lit(table_name).alias("table_name"), "row_id", found_text().alias("utc_text"))

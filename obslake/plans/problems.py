@@ -27,24 +27,31 @@ def with_instants(spark: SparkSession, d: str, name: str, columns: list[str], es
     return time_normalise.normalise_times(df, text, "__source" if source else None, zones, "ingested_at", zone, estimate)
 
 
+def _sourced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The time texts of all tables with sources as one, by source as table|source, and the registered zones of these."""
+    parts = [table(spark, d, n).select(F.lit(n).alias("table_name"), "row_id", F.concat(F.lit(f"{n}|"), x[1]).alias("__source"), F.col(x[0]).alias("__text"), "ingested_at") for n, x in TIME_TABLES.items() if x[1]]
+    return union_all(parts), table(spark, d, "source_registry").select(F.concat("source_table", F.lit("|"), "source_name").alias("__source"), "zone_name")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose time text is unusual, with their instant, zones estimated and checked against the registry. Null and
     empty texts are no case."""
-    return union_all([time_normalise.found(with_instants(spark, d, n, [], "all"), n, x[0], x[2]) for n, x in TIME_TABLES.items()])
+    rows, zones = _sourced(spark, d)
+    timed = time_normalise.normalise_times(rows, "__text", "__source", zones, "ingested_at", estimate="all")
+    parts = [time_normalise.found(with_instants(spark, d, n, []), n, x[0], x[2]) for n, x in TIME_TABLES.items() if not x[1]]
+    usual = F.coalesce(*[F.when(F.col("table_name") == n, time_normalise.unusual_times(timed, "__text", x[2])) for n, x in TIME_TABLES.items() if x[1]])
+    return union_all([timed.where(usual).select("table_name", "row_id", time_normalise.found_text().alias("utc_text")), *parts])
 
 
 def p1_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
     """Every source's zone in every period as estimated from arrivals alone, beside the registered one."""
     from obslake.functions.timestamps import with_parsed_time
 
-    parts = []
-    for name, (text, source, _, _) in TIME_TABLES.items():
-        if source:
-            df = with_parsed_time(table(spark, d, name).select(F.col(source).alias("source_name"), text, "ingested_at"), text)
-            bare = df.where(F.col("t_local_us").isNotNull() & F.col("t_offset_min").isNull() & F.col("t_region").isNull())
-            parts.append(time_normalise.zone_history(bare, "source_name", "t_local_us", "ingested_at").select(F.lit(name).alias("source_table"), "*"))
-    registry = table(spark, d, "source_registry").select("source_table", "source_name", "zone_name")
-    return union_all(parts).join(registry, ["source_table", "source_name"], "left")
+    rows, registry = _sourced(spark, d)
+    df = with_parsed_time(rows, "__text")
+    bare = df.where(F.col("t_local_us").isNotNull() & F.col("t_offset_min").isNull() & F.col("t_region").isNull())
+    part = F.split("__source", r"\|", 2)
+    return time_normalise.zone_history(bare, "__source", "t_local_us", "ingested_at").join(registry, "__source", "left").select(part[0].alias("source_table"), part[1].alias("source_name"), "period", "est_zone", "violations", "readings", "decided", "zone_name")
 
 
 PFAS_COLUMNS = ["systemname", "wssn", "locname", "sysloccode", "sampledate", "pfoaresult", "pfosresult", "pfoaflags", "pfosflags"]
