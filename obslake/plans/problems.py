@@ -150,25 +150,27 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 GRID_TABLES = {"chicago_beach_weather": ("station_name", "air_temperature", True), "ann_arbor_rainfall": ("site", "rainfall", False)}
 
 
-def _series(spark: SparkSession, d: str, name: str) -> DataFrame:
-    _, value, bare = GRID_TABLES[name]
-    readings = with_instants(spark, d, name, [value]).select(F.col("__source").alias("source"), "utc_us", F.col(value).alias("value"))
-    if not bare:
-        readings = readings.where("value is not null")
-    own = F.col("source_table") == name
-    cadence = table(spark, d, "source_registry").where(own).select(F.col("source_name").alias("source"), "cadence_minutes")
-    deployments = table(spark, d, "source_deployment").where(own).select(F.col("source_name").alias("source"), "active_from", "active_to")
-    return regular_grid.regular_series(readings, deployments, cadence).select(F.lit(name).alias("table_name"), F.col("source").alias("source_name"), *["slot_ms", "readings", "value", "last_ms", "next_ms", "filled", "status"])
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    """The series of all tables' sources, made as one: a source is table|source."""
+    readings = []
+    for name, (_, value, bare) in GRID_TABLES.items():
+        rows = with_instants(spark, d, name, [value]).select(F.concat(F.lit(f"{name}|"), "__source").alias("source"), "utc_us", F.col(value).cast("double").alias("value"))
+        readings.append(rows if bare else rows.where("value is not null"))
+    own, key = F.col("source_table").isin(*GRID_TABLES), F.concat("source_table", F.lit("|"), "source_name").alias("source")
+    cadence = table(spark, d, "source_registry").where(own).select(key, "cadence_minutes")
+    deployments = table(spark, d, "source_deployment").where(own).select(key, "active_from", "active_to")
+    part = F.split("source", r"\|", 2)
+    return regular_grid.regular_series(union_all(readings), deployments, cadence).select(part[0].alias("table_name"), part[1].alias("source_name"), *["slot_ms", "readings", "value", "last_ms", "next_ms", "filled", "status"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The empty slots of every deployment."""
-    return union_all([_series(spark, d, n) for n in GRID_TABLES]).where("status != 'observed'").select("table_name", "source_name", "slot_ms")
+    return _series(spark, d).where("status != 'observed'").select("table_name", "source_name", "slot_ms")
 
 
 def p6_series(spark: SparkSession, d: str) -> DataFrame:
     """The regular series of every source, empty slots filled from the last reading and marked."""
-    return union_all([_series(spark, d, n) for n in GRID_TABLES])
+    return _series(spark, d)
 
 
 def queries() -> dict:
