@@ -49,8 +49,9 @@ def quality(texts: Column, view_type: Column | None = None, has_parent: Column |
     return out
 
 
-def score(df: DataFrame, title: str, description: str, fields: str | None = None, resource: str | None = None, adjustment: Column | None = None, confidence: Column | None = None) -> DataFrame:
-    """Adds ``score``; ``fields`` is a text of the dataset's field names, ``confidence`` that of its profile."""
+def score(df: DataFrame, title: str, description: str, fields: str | None = None, resource: str | None = None, adjustment: Column | None = None, confidence: Column | None = None, cleaned: str | None = None) -> DataFrame:
+    """Adds ``score``; ``fields`` is a text of the dataset's field names, ``confidence`` that of its profile. ``cleaned``
+    names a column that the searched text is added as."""
     # the text is cleaned once per row: a generator keeps the optimizer from repeating that in every search for a term
     out = df.select("*", F.inline(F.array(F.struct(searchable(F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))).alias("__text")))))
     s = term_score(F.col("__text"), ENVIRONMENT_TERMS | LOW_VALUE_TERMS)
@@ -64,7 +65,7 @@ def score(df: DataFrame, title: str, description: str, fields: str | None = None
         s = s + adjustment
     if confidence is not None:
         s = s + F.coalesce(F.bround(confidence * F.when(has, 55).otherwise(30)), F.lit(0)).cast("int")
-    return out.select(*df.columns, F.inline(F.array(F.struct(s.alias("score")))))
+    return out.select(*df.columns, *([F.col("__text").alias(cleaned)] if cleaned else []), F.inline(F.array(F.struct(s.alias("score")))))
 
 
 def rank(df: DataFrame, title: str, least: int = 0, limit: int | None = None) -> DataFrame:

@@ -1,12 +1,16 @@
 """Operators of records, catalogs and states on small tables with nulls, ties and clashing names."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from obslake.functions import values as V
 from obslake.operators import catalog, fingerprint, geo, observations, portal, roles, sinks
+from obslake.plans import records
+
+DATA = "/root/testdata/sf0.001"
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -111,3 +115,10 @@ def test_geometry_types(spark):
     rows = ['{"type": "MultiPolygon"}', '{"type": "Feature"}', '{"type": 3}', "[]", "no", None]
     got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "j string").select(geo.geometry_type(F.col("j"))).collect()]
     assert got == ["multipolygon", None, None, None, None, None]
+
+
+def test_candidate_labels_clean_each_text_once(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("the test tables aren't here")
+    plan = records.candidate_labels(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
