@@ -42,14 +42,15 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
 
     The lookup is broadcast while it has at most ``max_rows`` rows and BROADCAST_BYTES bytes. Beyond that both sides are shuffled on
     (keys, salt): the lookup's rows are repeated once per salt, so a key with a third of ``big`` is spread
-    over ``SALTS`` tasks. Null keys match nothing. ``how`` is inner, left, left_semi or left_anti.
+    over ``SALTS`` tasks, and merged: the planner estimates the copies by the compressed file they come from, and would
+    broadcast millions of them through the driver. Null keys match nothing. ``how`` is inner, left, left_semi or left_anti.
     """
     if at_most(small, max_rows, BROADCAST_BYTES):
         return big.join(F.broadcast(small), keys, how)
     salt = "__salt"
     salted = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, salt], how).drop(salt)
+    return salted.join(copies.hint("merge"), [*keys, salt], how).drop(salt)
 
 
 def shards_for(rows: int, least: int = 8) -> int:
