@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from obslake import tables
+from obslake.operators import schema_drift
 from obslake.tables import lookup_join
 
 
@@ -12,3 +14,11 @@ def test_copies_of_a_lookup_beyond_the_limit_are_not_broadcast(spark, tmp_path,
     rows = sorted(out.collect(), key=str)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert rows == sorted(big.join(small, "k", how).collect(), key=str)
+
+
+def test_snapshots_beyond_the_limit_are_not_broadcast(spark, monkeypatch):
+    fields = spark.createDataFrame([("d", n, name, "text") for n in (1, 2, 3) for name in ("a", "b")[: 1 + n % 2]], "dataset_id string, snapshot_no int, name string, type_class string")
+    want = sorted(schema_drift.lifespans(fields).collect())
+    monkeypatch.setattr(tables, "at_most", lambda *_: False)
+    out = schema_drift.lifespans(fields)
+    assert sorted(out.collect()) == want and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
