@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obslake import tables
-from obslake.operators import schema_drift
+from obslake.operators import anomaly, schema_drift
 from obslake.tables import lookup_join
 
 
@@ -22,3 +22,11 @@ def test_snapshots_beyond_the_limit_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(tables, "at_most", lambda *_: False)
     out = schema_drift.lifespans(fields)
     assert sorted(out.collect()) == want and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flagged_readings_beyond_the_limit_are_not_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "s", i // 2, float(i // 2)) for i in range(8)], "row_id long, series string, t long, v double")
+    flagged = spark.createDataFrame([("s", 1, 1.0, "spike", 0.9), ("s", 3, 3.0, "stuck", 0.8)], "series string, t long, v double, flag string, probability double")
+    monkeypatch.setattr(tables, "at_most", lambda *_: False)
+    out = anomaly.flag_rows(rows, flagged)
+    assert sorted(r.row_id for r in out.collect()) == [2, 3, 6, 7] and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
