@@ -243,7 +243,8 @@ def constants(blocks: DataFrame) -> DataFrame:
     # a spike of one reading is two steps of more than six times the usual deviation
     large = F.aggregate(F.filter("__bins", lambda x: x["bin"] > F.col("__m") + F.lit(float(np.log(6 * 1.4826) / STEP_BIN))), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
     typical = typical.select("series", (F.exp(F.col("__m") * STEP_BIN) * 1.4826).alias("sigma"), large.alias("__large"))
-    of = whole.join(gaps, "series", "left").join(typical, "series", "left")
+    # merged, for the planner would take the summaries to be as small as the compressed file they come from
+    of = whole.join(gaps.hint("merge"), "series", "left").join(typical.hint("merge"), "series", "left")
     pool = of.groupBy("lo", "hi", "log_scale").agg(F.percentile("sigma", 0.5).alias("__pool"))
     of = of.join(F.broadcast(pool), ["lo", "hi", "log_scale"], "left")
     return of.select(
@@ -276,7 +277,7 @@ def carried(blocks: DataFrame) -> DataFrame:
     )
     sent = [blocks.where("runs > 0").select("series", (F.col("shard") + step).alias("shard"), F.lit(name).alias("side"), F.col(side).alias("part")) for step, name, side in ((1, "before", "tails"), (-1, "after", "heads"))]
     halo = sent[0].unionByName(sent[1]).groupBy("series", "shard").agg(*[F.first(F.when(F.col("side") == x, F.col("part")), True).alias(x) for x in ("before", "after")])
-    return s.join(halo, ["series", "shard"], "left")
+    return s.join(halo.hint("merge"), ["series", "shard"], "left")
 
 
 def flag_readings(readings: DataFrame) -> DataFrame:
@@ -291,7 +292,7 @@ def flag_readings(readings: DataFrame) -> DataFrame:
     blocks = checkpointed(shards(readings))
     known = lookup_join(carried(blocks), constants(blocks), ["series"], "inner")
     small = ["series", "lo", "hi", "log_scale", "before", "after", "n_before", "t_before", "n_after", "t_after", "usual_us", "sigma", "repeat_p", "to_spike"]
-    joined = lookup_join(spread(blocks.select("series", "shard", "lo", "hi", "log_scale", "ts", "vs")), known, ["series", "shard"], "left").select(*small, "ts", "vs")
+    joined = lookup_join(spread(blocks.select("series", "shard", "lo", "hi", "log_scale", "ts", "vs")), known, ["series", "shard"], "left", salts=1).select(*small, "ts", "vs")
     schema = "series string, t bigint, v double, flag string, probability double"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A lookup is broadcast only if it has at most this many rows and bytes.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
+#: A lookup is broadcast only if it has at most this many rows and bytes: the driver holds several at once, each a few times over.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 #: Rows that one task looks at in an order of its own.
 SHARD_ROWS = 1_000_000
 #: The shared folder of each session.
@@ -37,19 +37,21 @@ def at_most(df: DataFrame, rows: int, most_bytes: int | None = None) -> bool:
     return n <= rows and b <= most_bytes
 
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """Equi-join of a skewed table with a lookup table.
 
     The lookup is broadcast while it has at most ``max_rows`` rows and BROADCAST_BYTES bytes. Beyond that both sides are shuffled on
     (keys, salt): the lookup's rows are repeated once per salt, so a key with a third of ``big`` is spread
-    over ``SALTS`` tasks, and merged: the planner estimates the copies by the compressed file they come from, and would
+    over ``salts`` tasks (1 for keys that no side repeats much), and merged: the planner estimates the copies by the compressed file they come from, and would
     broadcast millions of them through the driver. Null keys match nothing. ``how`` is inner, left, left_semi or left_anti.
     """
     if at_most(small, max_rows, BROADCAST_BYTES):
         return big.join(F.broadcast(small), keys, how)
+    if salts == 1:
+        return big.join(small.hint("merge"), keys, how)
     salt = "__salt"
-    salted = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies.hint("merge"), [*keys, salt], how).drop(salt)
 
 

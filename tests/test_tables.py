@@ -30,3 +30,19 @@ def test_flagged_readings_beyond_the_limit_are_not_broadcast(spark, monkeypatch)
     monkeypatch.setattr(tables, "at_most", lambda *_: False)
     out = anomaly.flag_rows(rows, flagged)
     assert sorted(r.row_id for r in out.collect()) == [2, 3, 6, 7] and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_lookup_of_many_bytes_is_not_broadcast(spark, tmp_path):
+    spark.range(2000).select("id", F.repeat(F.lit("x"), 5000).alias("v")).write.parquet(f"{tmp_path}/small")
+    big, small = spark.range(3000), spark.read.parquet(f"{tmp_path}/small")
+    for more in ({}, {"salts": 1}):
+        out = lookup_join(big, small, ["id"], **more)
+        assert out.where("v is not null").count() == 2000 and out.count() == 3000 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_and_constants_of_series_are_not_broadcast(spark):
+    rows = [("s", i * 3_600_000_000, float(i % 7), 0.0, 100.0, False, 3_600_000_000) for i in range(50)]
+    blocks = tables.checkpointed(anomaly.shards(spark.createDataFrame(rows, "series string, t long, v double, lo double, hi double, log_scale boolean, cadence_us long")))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (anomaly.carried(blocks), anomaly.constants(blocks))]
+    # but for the few bounds that series share
+    assert [p.count("BroadcastHashJoin") for p in plans] == [0, 1]
