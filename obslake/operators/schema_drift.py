@@ -138,24 +138,25 @@ def columns(spans: DataFrame, renamed: DataFrame) -> DataFrame:
     """Rows (dataset_id, snapshot_no, name, column_name, column_class): the consistent column of every field.
 
     Lifespans linked by renames are one column, with the name of its last lifespan and the class that holds all its
-    values. Links are followed by doubling, so a chain of n renames takes log2(n) rounds. Two columns that would get one
+    values. Links are followed by doubling, so a chain of n renames takes log2(n) rounds. All joins are merged: the planner takes
+    a table for as small as its compressed file and would broadcast millions of fields through the driver. Two columns that would get one
     name get the snapshot they begin with appended, but for the one that begins last.
     """
     span = spans.select("dataset_id", "name", "since", "until").distinct()
     link = renamed.select("dataset_id", F.col("new_name").alias("name"), F.col("snapshot_no").alias("since"), F.col("old_name"), (F.col("snapshot_no") - 1).alias("until_old"))
     old = span.select("dataset_id", F.col("name").alias("old_name"), F.col("until").alias("until_old"), F.col("since").alias("old_since"))
     node = lambda n, s: F.struct(F.col(n).alias("name"), F.col(s).alias("since"))
-    parent = link.join(old, ["dataset_id", "old_name", "until_old"]).select("dataset_id", node("name", "since").alias("node"), node("old_name", "old_since").alias("root"))
-    roots = span.select("dataset_id", node("name", "since").alias("node"), "until").join(parent, ["dataset_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    parent = link.join(old.hint("merge"), ["dataset_id", "old_name", "until_old"]).select("dataset_id", node("name", "since").alias("node"), node("old_name", "old_since").alias("root"))
+    roots = span.select("dataset_id", node("name", "since").alias("node"), "until").join(parent.hint("merge"), ["dataset_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
     longest = spans.agg(F.max(F.col("until") - F.lit(0)) - F.min("since")).first()[0] or 0
     for _ in range(max(1, int(longest).bit_length())):
         up = roots.select("dataset_id", F.col("node").alias("root"), F.col("root").alias("__up"))
-        roots = checkpointed(roots.join(up, ["dataset_id", "root"], "left").select("dataset_id", "node", "until", F.coalesce("__up", "root").alias("root")))
-    tagged = spans.join(roots.select("dataset_id", F.col("node.name").alias("name"), F.col("node.since").alias("since"), "root"), ["dataset_id", "name", "since"])
+        roots = checkpointed(roots.join(up.hint("merge"), ["dataset_id", "root"], "left").select("dataset_id", "node", "until", F.coalesce("__up", "root").alias("root")))
+    tagged = spans.join(roots.select("dataset_id", F.col("node.name").alias("name"), F.col("node.since").alias("since"), "root").hint("merge"), ["dataset_id", "name", "since"])
     column = tagged.groupBy("dataset_id", "root").agg(F.max_by("name", F.struct("snapshot_no", "name")).alias("column_name"), F.sort_array(F.collect_set("type_class")).alias("__classes"))
     same = Window.partitionBy("dataset_id", "column_name").orderBy(F.desc("root.since"), F.desc("root.name"))
     column = column.withColumn("column_name", F.when(F.row_number().over(same) > 1, F.concat("column_name", F.lit("@"), F.col("root.since"))).otherwise(F.col("column_name")))
-    return tagged.join(column.select("dataset_id", "root", "column_name", _common(F.col("__classes")).alias("column_class")), ["dataset_id", "root"]).select("dataset_id", "snapshot_no", "name", "column_name", "column_class")
+    return tagged.join(column.select("dataset_id", "root", "column_name", _common(F.col("__classes")).alias("column_class")).hint("merge"), ["dataset_id", "root"]).select("dataset_id", "snapshot_no", "name", "column_name", "column_class")
 
 
 def _cast(value: Column, kind: Column) -> Column:

@@ -46,3 +46,11 @@ def test_runs_and_constants_of_series_are_not_broadcast(spark):
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (anomaly.carried(blocks), anomaly.constants(blocks))]
     # but for the few bounds that series share
     assert [p.count("BroadcastHashJoin") for p in plans] == [0, 1]
+
+
+def test_lifespans_are_not_broadcast(spark):
+    fields = [("d", n, name, None, None, "text", 1, "text") for n in (1, 2, 3) for name in ("a", "b" if n < 3 else "c")]
+    spans = tables.checkpointed(schema_drift.lifespans(spark.createDataFrame(fields, "dataset_id string, snapshot_no int, name string, label string, description string, data_type string, ordinal int, type_class string")))
+    out = schema_drift.columns(spans, spark.createDataFrame([("d", 3, "b", "c")], "dataset_id string, snapshot_no int, old_name string, new_name string"))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.snapshot_no, r.name, r.column_name) for r in out.collect()) == [(1, "a", "a"), (1, "b", "c"), (2, "a", "a"), (2, "b", "c"), (3, "a", "a"), (3, "c", "c")]
