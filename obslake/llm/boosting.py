@@ -42,9 +42,20 @@ class Boosted:
             tree = self._grow(b, g, h)
             self.trees.append(tree)
             f += self._apply(tree, b)
-        self._calibrate(f[held], y[held])
+        self.calibrate(f[held], y[held], np.ones(held.sum()))
         return self
 
+    def start(self, edges: list[np.ndarray], p: float) -> None:
+        """Begins without trees: ``edges`` are the features' bins, ``p`` the share of the class."""
+        self.edges, self.base = edges, float(np.log(p / (1 - p)))
+
+    def add_tree(self, x: np.ndarray, y: np.ndarray) -> None:
+        """One more round, fitted to rows of its own with what the trees before say of them."""
+        if len(y):
+            b = self._binned(x)
+            q = 1 / (1 + np.exp(-self._summed(b)))
+            self.trees.append(self._grow(b, y - q, q * (1 - q)))
+
     def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         nodes = 2 ** (self.depth + 1) - 1
         feature, cut, value = np.full(nodes, -1), np.zeros(nodes, int), np.zeros(nodes)
@@ -88,22 +99,25 @@ class Boosted:
             at[go] = 2 * at[go] + 1 + right
         return value[at]
 
-    def _raw(self, x: np.ndarray) -> np.ndarray:
-        b = self._binned(np.asarray(x, float))
-        f = np.full(len(x), self.base)
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """The trees' log odds before they are calibrated."""
+        return self._summed(self._binned(np.asarray(x, float)))
+
+    def _summed(self, b: np.ndarray) -> np.ndarray:
+        f = np.full(len(b), self.base)
         for tree in self.trees:
             f += self._apply(tree, b)
         return f
 
-    def _calibrate(self, f: np.ndarray, y: np.ndarray) -> None:
-        """Logistic calibration on the rows held out of the training."""
-        if len(y) < 20 or y.min() == y.max():
+    def calibrate(self, f: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+        """Logistic calibration on the rows held out of the training, each of them n times."""
+        if n.sum() < 20 or y.min() == y.max():
             return
         a, c = 1.0, 0.0
         for _ in range(25):
             q = 1 / (1 + np.exp(-(a * f + c)))
-            w = q * (1 - q) + 1e-6
-            ga, gc = ((y - q) * f).sum() - 0.1 * (a - 1), (y - q).sum() - 0.1 * c
+            w = n * (q * (1 - q) + 1e-6)
+            ga, gc = (n * (y - q) * f).sum() - 0.1 * (a - 1), (n * (y - q)).sum() - 0.1 * c
             haa, hac, hcc = (w * f * f).sum() + 0.1, (w * f).sum(), w.sum() + 0.1
             det = haa * hcc - hac * hac
             a, c = a + (hcc * ga - hac * gc) / det, c + (haa * gc - hac * ga) / det
@@ -113,4 +127,7 @@ class Boosted:
     def predict(self, x: np.ndarray) -> np.ndarray:
         if len(x) == 0:
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.scale * self._raw(x) + self.shift, -40, 40)))
+        return self.odds_to_p(self.raw(x))
+
+    def odds_to_p(self, f: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * f + self.shift, -40, 40)))

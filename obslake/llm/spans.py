@@ -191,13 +191,19 @@ class Words:
 
     def fit_titled(self, texts: list[str]) -> Words:
         """Words behind which a title stands more often than a given name."""
+        self.titled = {x for x, n in self.title_counts(texts).items() if n > 0}
+        return self
+
+    def title_counts(self, texts: list[str]) -> Counter:
+        """Of words, how much more often a title stands behind them than a given name."""
         titled: Counter = Counter()
         for t in texts:
             for m in BEFORE_NAME.finditer(t):
                 x = m[2].lower()
-                titled[m[1].lower()] += (x in TITLES and x != "m") - (x in self.listed or x in self.given)
-        self.titled = {x for x, n in titled.items() if n > 0}
-        return self
+                n = (x in TITLES and x != "m") - (x in self.listed or x in self.given)
+                if n:
+                    titled[m[1].lower()] += n
+        return titled
 
     def score(self, token: str) -> float:
         """Log likelihood ratio of a word being a surname; of a compound, that of its least part."""

@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from obslake.llm import personal as P
 from obslake.llm.boosting import Boosted
@@ -127,6 +129,37 @@ def test_over_tables(spark):
     assert P.find_personal(df.limit(0), GIVEN).count() == 0
 
 
+def test_labels_and_surroundings_of_all_documents_equal_those_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(P, "LEAST_SHARE", 0.0)
+    texts = corpus(150, 7)[0]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:9])] + [(900, None), (901, "")], "doc_id long, text string")
+    words = P.corpus_titled(df, P.corpus_words(df, GIVEN))
+    texts = list(dict.fromkeys(texts))
+    assert words.titled == {x for x, n in words.title_counts(texts).items() if n > 0}
+    found = [P.candidates(t, words) for t in texts]
+    local = P.Surroundings()
+    for doc in found:
+        for kind in ("phone", "identity", "address", "name"):
+            for _, _, _, key, strong, _ in doc[kind]:
+                local.add(kind, key, strong)
+    local.close()
+    proposed = P.corpus_spans(df, words)
+    first = proposed.groupBy("hash").agg(F.min("rid").alias("rid")).select("rid")
+    rows, around = P.corpus_labels(P.checkpointed(proposed.join(first, "rid", "left_semi").select("rid", "hash", F.inline("spans"))))
+    assert around.single == local.single and all(abs(around.base[k] - local.base[k]) < 1e-12 for k in ("phone", "identity", "address", "name"))
+    want = Counter((k, y) for k, rs in P.labels(found, words, local).items() for _, y in rs)
+    assert Counter((r.kind, r.y) for r in rows.select("kind", "y").collect()) == want and len(want) > 8
+
+
+def test_every_document_is_fitted_to_whatever_the_size_of_a_round(spark):
+    texts = corpus(300, 8)[0]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    few, found = P.finder(df, GIVEN, 10)
+    once = sum(len(r.spans) for r in found.dropDuplicates(["hash"]).collect())
+    assert sum(n for n, *_ in few.fitted.values()) == once
+    assert all(len(m.trees) > 40 for k, m in few.models.items() if k == "name")
+
+
 def test_boosting_learns_and_is_deterministic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
