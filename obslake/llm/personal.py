@@ -149,7 +149,8 @@ class Finder:
         chosen: list[list[tuple[float, int, int, str]]] = [[] for _ in range(n)]
         for kind, pool in pools.items():
             if pool:
-                p = self.models[kind].predict(np.array([f if kind == "email" else [*f, *self.around.features(kind, key)] for _, _, _, f, key in pool], float))
+                beside = {} if kind == "email" else {key: self.around.features(kind, key) for key in {x[4] for x in pool}}
+                p = self.models[kind].predict(np.array([[*f, *beside.get(key, ())] for _, _, _, f, key in pool], float))
                 for (i, s, e, f, _), q in zip(pool, p):
                     if q >= self.thresholds[kind]:
                         # of two kinds for one number, the one whose own pattern it has goes before one that it merely may be
@@ -326,9 +327,8 @@ def corpus_spans(documents: DataFrame, words: Words) -> DataFrame:
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for rid, doc, code, text in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = []
+            out, docs, ends = [], [], [0]
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 for kind, found in candidates(text, words).items():
                     own: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
                     for _, _, _, key, strong, _ in found:
@@ -342,11 +342,15 @@ def corpus_spans(documents: DataFrame, words: Words) -> DataFrame:
                         elif kind == "name":
                             thing = word in words.other or word in words.common or word in words.listed or word in words.given
                             parts = [p for p in word.split("-") if len(p) >= 4 and p not in words.listed and p not in words.given]
-                        values = (s, e, kind, [float(x) for x in f], *key, bool(strong), word, parts, thing, kind == "name" and bool(f[1] == 2 or f[4]), *own[key])
-                        rows.append(dict(zip(SPAN_NAMES, values)))
-                if rows:
-                    out.append({"rid": rid, "doc_id": doc, "hash": code, "spans": rows})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out.append((s, e, kind, [float(x) for x in f], *key, bool(strong), word, parts, thing, kind == "name" and bool(f[1] == 2 or f[4]), *own[key]))
+                if len(out) > ends[-1]:
+                    docs.append(i)
+                    ends.append(len(out))
+            span = schema.field("spans").type.value_type
+            columns = zip(*out) if out else [()] * len(SPAN_NAMES)
+            flat = pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(columns, span)], fields=list(span))
+            own = batch.take(pa.array(docs, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in range(3)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=schema.field("spans").type)], schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -399,7 +403,9 @@ def fit_corpus(found: DataFrame, words: Words, least_docs: int) -> Finder:
     def with_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = batch.to_pydict()
-            f = [[*f, *([] if kind == "email" else around.features(kind, key, own))] for kind, f, key, own in zip(r["kind"], r["f"], zip(r["a"], r["b"], r["c"]), zip(r["own_n"], r["own_yes"]))]
+            asked = list(zip(r["kind"], zip(r["a"], r["b"], r["c"]), zip(r["own_n"], r["own_yes"])))
+            beside = {x: [] if x[0] == "email" else around.features(*x) for x in set(asked)}
+            f = [[*f, *beside[x]] for f, x in zip(r["f"], asked)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "part", "y")), pa.array(f, pa.list_(pa.float64()))], names=["kind", "part", "y", "f"])
 
     part = F.pmod(F.xxhash64("hash"), F.lit(FIT_PARTS + HELD_PARTS)).cast("int").alias("part")
@@ -421,8 +427,8 @@ def fit_corpus(found: DataFrame, words: Words, least_docs: int) -> Finder:
 
     def load(k: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         t = known.where(F.col("part") == k).select("kind", "y", "f").toArrow()
-        kinds, y, f = np.array(t["kind"].to_pylist(), object), np.array(t["y"].to_pylist(), float), t["f"].combine_chunks()
-        return {kind: (np.array(f.filter(pa.array(kinds == kind)).to_pylist(), float), y[kinds == kind]) for kind in both if (kinds == kind).any()}
+        kinds, y, f = np.array(t["kind"].to_pylist(), object), np.array(t["y"].to_pylist(), float), pa.concat_arrays(t["f"].chunks) if len(t) else None
+        return {kind: (_matrix(f.filter(pa.array(kinds == kind))), y[kinds == kind]) for kind in both if (kinds == kind).any()}
 
     def rows_of(kind: str, k: int) -> tuple[np.ndarray, np.ndarray]:
         parts = [held[i % FIT_PARTS][kind] for i in range(k, k + window) if kind in held[i % FIT_PARTS]]
@@ -445,7 +451,7 @@ def fit_corpus(found: DataFrame, words: Words, least_docs: int) -> Finder:
             at = np.zeros(len(kinds), np.int64)
             for kind in set(kinds):
                 own = kinds == kind
-                at[own] = np.rint(models[kind].raw(np.array(f.filter(pa.array(own)).to_pylist(), float)) / ODDS_BIN)
+                at[own] = np.rint(models[kind].raw(_matrix(f.filter(pa.array(own)))) / ODDS_BIN)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((batch.column(1).to_numpy() >= FIT_PARTS)), batch.column(2), pa.array(at)], names=["kind", "held", "y", "bin"])
 
     told: dict[str, list] = defaultdict(list)
@@ -466,6 +472,10 @@ def fit_corpus(found: DataFrame, words: Words, least_docs: int) -> Finder:
     return Finder(words, around, models, thresholds, fitted)
 
 
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
 def weighted_edges(counted: list[tuple[float, int, int]], bins: int) -> np.ndarray:
     """Borders of bins by quantiles of (value, class, count) rows, of all and of each class."""
     value, y, n = (np.array(c, float) for c in zip(*sorted(counted)))
@@ -496,10 +506,12 @@ def find_personal(documents: DataFrame, given: set[str], sample: int = ROUND_DOC
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, pools = batch.column(0).to_pylist(), {k: [] for k in KINDS}
-            for i, proposed in enumerate(batch.column(1).to_pylist()):
-                for x in proposed:
-                    pools[x["kind"]].append((i, x["s"], x["e"], x["f"], (x["a"], x["b"], x["c"])))
+            ids, pools, flat = batch.column(0).to_pylist(), {k: [] for k in KINDS}, batch.column(1).flatten()
+            at = np.repeat(np.arange(len(ids)), np.diff(batch.column(1).offsets.to_numpy())).tolist()
+            c = {name: flat.field(name).to_pylist() for name in ("s", "e", "kind", "a", "b", "c")}
+            ends, values = flat.field("f").offsets.to_pylist(), flat.field("f").values.to_numpy().tolist()
+            for i, k, s, e, x, y, key in zip(at, c["kind"], c["s"], c["e"], ends, ends[1:], zip(c["a"], c["b"], c["c"])):
+                pools[k].append((i, s, e, values[x:y], key))
             rows = [(i, *m) for i, own in zip(ids, fitted.choose(pools, len(ids))) for m in own]
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "kind", "start_pos", "end_pos"])
